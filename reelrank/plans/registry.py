@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from reelrank.plans import records
+from reelrank.plans import catalogue, records
 
-_MODULES = [records]
+_MODULES = [records, catalogue]
 
 
 def queries() -> dict[str, Callable]:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship() -> Callable:
-    return records.p1_found
+    return catalogue.title_search_flagship
