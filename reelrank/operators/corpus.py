@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelrank.functions.text import display_title, slug
+from reelrank.functions.text import display_title, fixed, slug
 from reelrank.runtime import WHITE_SPACE, clean_key
 
 NO_GENRES = "(no genres listed)"
@@ -65,7 +65,7 @@ def build_corpus(movies: DataFrame, ratings: DataFrame, tags: DataFrame, links:
     flat = joined.select("id", title.alias("title"), year.alias("year"), genres.alias("genres"), tag_list.alias("tags"), (F.col("rating_sum") / F.col("rating_count")).alias("average_rating"), F.coalesce("rating_count", F.lit(0)).cast("bigint").alias("rating_count"), F.concat(F.lit("tt"), imdb).alias("imdb_id"), F.col("l.tmdbId").alias("tmdb_id"))
     label = lambda name, list_: F.when(F.size(list_) > 0, F.concat(F.lit(name + ": "), F.array_join(list_, ", ")))
     text = search_text([F.col("title"), F.col("year").cast("string"), label("Genres", F.col("genres")), label("Tags", F.col("tags"))])
-    meta = F.struct("year", "genres", "tags", F.round("average_rating", 3).alias("average_rating"), "rating_count", "imdb_id", "tmdb_id")
+    meta = F.struct("year", "genres", "tags", fixed(F.col("average_rating"), 3).alias("average_rating"), "rating_count", "imdb_id", "tmdb_id")
     return flat.select(F.col("id").alias("_id"), "title", text.alias("text"), meta.alias("metadata"))
 
 

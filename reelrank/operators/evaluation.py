@@ -52,7 +52,7 @@ def evaluate(judged: DataFrame, runs: DataFrame, k: int = 10, recall_k: int = 10
         raise ValueError("metric cutoffs must be positive integers")
     ideal = judged.withColumn("i", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")))
     base = ideal.groupBy("query_id").agg(
-        F.count_if("grade > 0").alias("relevant"), F.count_if("grade >= 2").alias("strong"), F.sum(F.when(F.col("i") <= k, _gain(F.col("grade"), F.col("i"))).otherwise(0.0)).alias("ideal")
+        F.count_if(F.expr("grade > 0")).alias("relevant"), F.count_if(F.expr("grade >= 2")).alias("strong"), F.sum(F.when(F.col("i") <= k, _gain(F.col("grade"), F.col("i"))).otherwise(0.0)).alias("ideal")
     )
     lists = ranked(runs).join(judged.select("query_id").distinct(), "query_id", "left_semi").join(judged, ["query_id", "doc_id"], "left")
     hit = lambda cut, g: F.count_if((F.col("rank") <= cut) & (F.col("grade") >= g))
@@ -63,7 +63,7 @@ def evaluate(judged: DataFrame, runs: DataFrame, k: int = 10, recall_k: int = 10
         F.count_if((F.col("rank") <= k) & F.col("grade").isNotNull()).alias("judged_k"), F.sum(F.when(F.col("rank") <= k, _gain(F.coalesce("grade", F.lit(0)), F.col("rank"))).otherwise(0.0)).alias("actual"),
     )
     nominated = runs.select("query_id", F.explode("candidate_ids").alias("c")).select("query_id", clean_key("c").alias("doc_id")).where("doc_id is not null").distinct()
-    held = judged.join(nominated, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.count_if("grade > 0").alias("c1"), F.count_if("grade >= 2").alias("c2"))
+    held = judged.join(nominated, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.count_if(F.expr("grade > 0")).alias("c1"), F.count_if(F.expr("grade >= 2")).alias("c2"))
     seen = runs.select("query_id", F.when(~F.isnan("latency_ms"), F.col("latency_ms")).alias("latency_ms"), F.col("candidate_ids").isNotNull().alias("has_candidates"), F.lit(True).alias("has_run"))
     j = base.join(per, "query_id", "left").join(held, "query_id", "left").join(seen, "query_id", "left")
     if categories is not None:
@@ -113,7 +113,7 @@ def case_rates(trials: DataFrame, case: str, passed: str) -> DataFrame:
     deviation, its 95 % interval within 0 to 1 and the number of cases that passed sometimes."""
     per = trials.groupBy(case).agg(F.avg(F.col(passed).cast("double")).alias("rate"), F.count("*").alias("trials"))
     half = F.lit(1.96) * F.coalesce(F.stddev_samp("rate"), F.lit(0.0)) / F.sqrt(F.count("*").cast("double"))
-    return per.agg(F.count("*").alias("cases"), F.sum("trials").alias("trials"), F.avg("rate").alias("pass_rate"), F.stddev_samp("rate").alias("deviation"), F.greatest(F.lit(0.0), F.avg("rate") - half).alias("low"), F.least(F.lit(1.0), F.avg("rate") + half).alias("high"), F.count_if("rate > 0 and rate < 1").alias("flaky"))
+    return per.agg(F.count("*").alias("cases"), F.sum("trials").alias("trials"), F.avg("rate").alias("pass_rate"), F.stddev_samp("rate").alias("deviation"), F.greatest(F.lit(0.0), F.avg("rate") - half).alias("low"), F.least(F.lit(1.0), F.avg("rate") + half).alias("high"), F.count_if(F.expr("rate > 0 and rate < 1")).alias("flaky"))
 
 
 # --- gates and comparisons

@@ -43,7 +43,7 @@ def summary(documents: DataFrame, queries: DataFrame, judged: DataFrame) -> Data
     """AG13: one row of counts."""
     d = documents.agg(F.count("*").alias("documents"))
     q = queries.agg(F.count("*").alias("queries"))
-    per = judged.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("grade > 0").alias("p"))
+    per = judged.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.expr("grade > 0")).alias("p"))
     j = per.agg(F.count("*").alias("judged_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("judgments"), F.coalesce(F.sum("p"), F.lit(0)).alias("positive_judgments"))
     one = lambda df: df.withColumn("_k", F.lit(1))
     return one(d).join(one(q), "_k").join(one(j), "_k").drop("_k")

@@ -13,6 +13,7 @@ from reelrank.operators import ranking as rk
 from reelrank.operators import validation
 from reelrank.plans import search as sr
 from reelrank.plans.metadata import aliases_for
+from reelrank.plans.sql import ORACLE  # noqa: F401
 from reelrank.runtime import clean_key, table
 
 TOP = 12
@@ -213,4 +214,4 @@ def dataset_summary(spark, folder):
 
 _ALL = [title_search_flagship, genre_discovery_topk, compound_genre_topk, rating_stats, corpus_documents, exact_title_collisions, exact_title_lookup, token_lookup_union, token_lookup_intersect, trigram_candidates, edit_similarity_topk, token_coverage_topk, ordered_proximity, field_match_best, metadata_parse, metadata_filters, index_statistics, eval_per_query, eval_summary, eval_by_category, regression_gate, integrity_violations, dataset_summary]
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {}
+
