@@ -133,7 +133,7 @@ def people(credits: DataFrame) -> DataFrame:
 def members(rows: DataFrame, kind: str, name: str, movie: str) -> DataFrame:
     """ETL10/ETL15: (entity_id, name, movie_count) of genres or tags, by slug; the least
     spelling gives the name."""
-    valid = rows.select(F.btrim(F.col(name)).alias("name"), F.col(movie).alias("movie")).where("name is not null and name <> '' and movie is not null")
+    valid = rows.select(F.btrim(F.col(name), F.lit(WHITE_SPACE)).alias("name"), F.col(movie).alias("movie")).where("name is not null and name <> '' and movie is not null")
     per = valid.groupBy(F.concat(F.lit(kind + ":"), slug(F.col("name"))).alias("entity_id"), "movie").agg(F.min("name").alias("name"))
     return per.groupBy("entity_id").agg(F.min("name").alias("name"), F.count("*").alias("movie_count"))
 

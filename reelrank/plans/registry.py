@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from reelrank.plans import catalogue, records
+from reelrank.plans import catalogue, people, records
 
-_MODULES = [records, catalogue]
+_MODULES = [records, catalogue, people]
 
 
 def queries() -> dict[str, Callable]:
