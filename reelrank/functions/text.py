@@ -74,12 +74,16 @@ def edit_text(c: Column) -> Column:
     return F.btrim(F.regexp_replace(exact_key(c), "[^a-z0-9]+", " "))
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once: within a lambda an outer expression would be
+    computed again for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def trigrams(c: Column) -> Column:
     """TX9: distinct three-character pieces of the edit text between ^ and $, in order."""
-    body = edit_text(c)
-    padded = F.concat(F.lit("^"), body, F.lit("$"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    pieces = lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))
+    return bound(F.concat(F.lit("^"), edit_text(c), F.lit("$")), lambda p: F.when(F.length(p) > 2, pieces(p)).otherwise(F.array().cast("array<string>")))
 
 
 def is_adjacent_swap(a: Column, b: Column) -> Column:
@@ -199,10 +203,8 @@ def grapheme_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def grapheme_trigrams(chars: Column) -> Column:
     """TX24: joined threes of ^, the graphemes and $."""
-    padded = F.concat(F.array(F.lit("^")), chars, F.array(F.lit("$")))
-    n = F.size(padded)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(padded, i, F.lit(3)), ""))
-    return F.when(F.size(chars) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    pieces = lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(p) - 2), lambda i: F.array_join(F.slice(p, i, F.lit(3)), "")))
+    return bound(F.concat(F.array(F.lit("^")), chars, F.array(F.lit("$"))), lambda p: F.when(F.size(p) > 2, pieces(p)).otherwise(F.array().cast("array<string>")))
 
 
 def script_of(c: Column) -> Column:
