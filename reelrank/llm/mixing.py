@@ -90,7 +90,7 @@ def draw_mix(docs: DataFrame, item: str, source: str, tokens: str, targets: Data
     have_rows = sized.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
     targeted = have_rows.where(F.col("source").isin(list(share))) if share else have_rows.limit(0)
     have = {r.source: int(r.t) for r in targeted.collect()}  # at most MAX_SOURCES rows
-    total = largest_total(have, share, most) if total_tokens is None else total_tokens
+    total = largest_total(have, share, most) if total_tokens is None else min(total_tokens, sum(have[s] * most[s] for s in have))
     live = {s: share[s] for s in have}
     n_shards = {s: max(1, min(MAX_SHARDS, -(-have[s] // shard_tokens))) for s in have}
     shard_map = F.create_map(*[x for s, n in n_shards.items() for x in (F.lit(s), F.lit(n))]) if n_shards else None
@@ -98,7 +98,8 @@ def draw_mix(docs: DataFrame, item: str, source: str, tokens: str, targets: Data
         drawn = sized.limit(0).select("item", "source", "tokens", F.lit(0).alias("repeats"))
     else:
         block = max(1, -(-total // blocks))
-        quota = sainte_lague(live, total // block, {s: have[s] * most[s] // block for s in have})
+        # the last block at a limit may be part-filled
+        quota = sainte_lague(live, -(-total // block), {s: -(-have[s] * most[s] // block) for s in have})
         order = F.xxhash64(F.lit(seed), F.col("item"))
         placed = sized.where(F.col("source").isin(list(n_shards))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("item")), shard_map[F.col("source")].cast("bigint")).cast("int"))
         shards: dict[str, dict[int, int]] = {s: {} for s in n_shards}
@@ -106,14 +107,13 @@ def draw_mix(docs: DataFrame, item: str, source: str, tokens: str, targets: Data
             shards[r.source][r["shard"]] = int(r.t)
         plan = []
         for s, held in shards.items():
-            own = sainte_lague({k: float(t) for k, t in held.items()}, quota[s], {k: t * most[s] // block for k, t in held.items()})
-            left = quota[s] - sum(own.values())
-            for k, t in sorted(held.items()):
-                want = own[k] * block
-                if left and t * most[s] - want > 0:  # part-filled blocks at the shards' limits
-                    more = min(t * most[s] - want, left * block)
-                    want, left = want + more, left - -(-more // block)
-                plan.append((s, k, want // t, want % t, most[s]))
+            own = sainte_lague({k: float(t) for k, t in held.items()}, quota[s], {k: -(-t * most[s] // block) for k, t in held.items()})
+            wanted = {k: min(own[k] * block, t * most[s]) for k, t in held.items()}
+            left = min(quota[s] * block, have[s] * most[s]) - sum(wanted.values())
+            for k, t in sorted(held.items()):  # what part-filled blocks left over
+                more = min(left, t * most[s] - wanted[k])
+                left -= more
+                plan.append((s, k, (wanted[k] + more) // t, (wanted[k] + more) % t, most[s]))
         quotas = spark.createDataFrame(pd.DataFrame(plan, columns=["source", "shard", "rounds", "rest", "max_repeats"]), "source string, shard int, rounds bigint, rest bigint, max_repeats int")
         w = W.partitionBy("source", "shard").orderBy("_order", "item").rowsBetween(W.unboundedPreceding, -1)
         seeded = placed.withColumn("_order", order).withColumn("_before", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
