@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelrank.llm import collapse, mixing, packing, spam, tokens
 from reelrank.llm.forms import form
+from reelrank.runtime import cut
 
 
 def brute_copies(rows):
@@ -36,7 +37,7 @@ def test_collapse(spark, bucket_rows):
 def test_spelling_pairs(spark, monkeypatch):
     monkeypatch.setattr(collapse, "PAIR_BLOCK", 3)
     rows = [("m", f"Same{'!' * k} thing") for k in range(11)] + [("n", "one"), ("n", "One"), ("o", "alone")]
-    copies = collapse.collapse_copies(spark.createDataFrame(rows, "m string, t string"), ["m"], "t").localCheckpoint(False)
+    copies = cut(collapse.collapse_copies(spark.createDataFrame(rows, "m string, t string"), ["m"], "t"))
     got = {(r.key_0, r.spelling_a, r.spelling_b) for r in collapse.spelling_pairs(copies, ["key_0"]).collect()}
     expect = {(k[0], a, b) for k, c in brute_copies(rows).items() for a, b in itertools.combinations(sorted(c), 2)}
     assert got == expect and len(expect) == 56
