@@ -25,6 +25,12 @@ def fixed(value: Column, digits: int) -> Column:
     return F.floor(value * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once: within a lambda an outer expression would be
+    computed again for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def exact_key(c: Column) -> Column:
     """TX1/TX4: lower case, underscores and long dashes as spaces, single spaces, none at
     the ends; '' for null. Punctuation stays."""
@@ -74,12 +80,6 @@ def edit_text(c: Column) -> Column:
     return F.btrim(F.regexp_replace(exact_key(c), "[^a-z0-9]+", " "))
 
 
-def bound(value: Column, f) -> Column:
-    """f(value) with value computed once: within a lambda an outer expression would be
-    computed again for every element."""
-    return F.transform(F.array(value), f)[0]
-
-
 def trigrams(c: Column) -> Column:
     """TX9: distinct three-character pieces of the edit text between ^ and $, in order."""
     pieces = lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))
@@ -88,15 +88,15 @@ def trigrams(c: Column) -> Column:
 
 def is_adjacent_swap(a: Column, b: Column) -> Column:
     """TX11: equal but for two neighbouring characters that changed places."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    i, j = F.get(at, F.lit(0)), F.get(at, F.lit(1))
-    swapped = (j == i + 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, j, F.lit(1))) & (F.substring(a, j, F.lit(1)) == F.substring(b, i, F.lit(1)))
-    return (F.length(a) == F.length(b)) & (F.size(at) == 2) & F.coalesce(swapped, F.lit(False))
+    swapped = lambda i: F.concat(F.left(a, i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b
+    places = F.filter(F.sequence(F.lit(0), F.length(a) - 1), lambda i: i > 0)
+    return (F.length(a) == F.length(b)) & (F.length(a) > 1) & (a != b) & F.exists(places, swapped)
 
 
 def correction_distance(a: Column, b: Column) -> Column:
-    """TX12: 1 for an adjacent swap, else the Levenshtein distance (TX10)."""
-    return F.when(is_adjacent_swap(a, b), 1).otherwise(F.levenshtein(a, b))
+    """TX12: 1 for an adjacent swap, else the Levenshtein distance (TX10). A swap has
+    distance 2, so only such pairs are looked at twice."""
+    return bound(F.levenshtein(a, b), lambda d: F.when((d == 2) & (F.length(a) == F.length(b)) & is_adjacent_swap(a, b), 1).otherwise(d))
 
 
 def contains_term(text: Column, term: Column) -> Column:

@@ -140,5 +140,5 @@ def compare(baseline: DataFrame, current: DataFrame, metrics: list[str], toleran
     c = current.select("query_id", *[F.col(m).alias(f"_{m}") for m in metrics])
     j = baseline.join(c, "query_id", "left")
     deltas = [(F.col(f"_{m}") - F.col(m)).alias(f"delta_{m}") for m in metrics]
-    worse = F.greatest(*[F.coalesce((F.col(f"delta_{m}") < -tolerance).cast("int"), F.lit(1)) for m in metrics]) == 1
+    worse = F.greatest(F.lit(0), *[F.coalesce((F.col(f"delta_{m}") < -tolerance).cast("int"), F.lit(1)) for m in metrics]) == 1
     return j.select("query_id", "category", *deltas).withColumn("is_worse", worse)
