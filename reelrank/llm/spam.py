@@ -44,7 +44,8 @@ class Settings:
     """repeats: occurrences from which a substring counts as repeated; near: tokens within
     which a repeated word recurs when it is stuffed; reach: words looked at on either side
     for clauses; none, few: shares of clause words up to which a place has no clause, or
-    too few for its repetition; dense: share of recurring words that is stuffing; share:
+    too few for its repetition; kinds: the same as few, counting each clause word once (a
+    stuffed phrase may hold some, but always the same); dense: share of recurring words that is stuffing; share:
     part of a page's characters beyond which it is spam."""
 
     repeats: int = 3
@@ -52,6 +53,7 @@ class Settings:
     reach: int = 8
     none: float = 0.1
     few: float = 0.36
+    kinds: float = 0.32
     dense: float = 0.7
     share: float = 0.5
 
@@ -175,8 +177,11 @@ def spam_share(text: str, s: Settings = Settings()) -> tuple[float, float, float
     # the nearest other occurrence of each word
     near = [False] * n
     seen: dict[str, int] = {}
+    last = [-1] * n
     for i, w in enumerate(names):
         j = seen.get(w)
+        if j is not None:
+            last[i] = j
         if j is not None and i - j <= s.near:
             near[i] = near[j] = True
         seen[w] = i
@@ -211,8 +216,11 @@ def spam_share(text: str, s: Settings = Settings()) -> tuple[float, float, float
             continue
         if ratio <= s.none:
             spam += size
-        elif ratio <= s.few and again >= s.dense * content:
-            spam += size
+        elif again >= s.dense * content:
+            # clause words around that didn't stand there just before, each counted once
+            fresh = sum(1 for j in range(a, b) if clause[j] and last[j] < a)
+            if ratio <= s.few or fresh <= s.kinds * (fresh + content):
+                spam += size
     return spam / total, cover_chars / total, sum(clause) / n
 
 
