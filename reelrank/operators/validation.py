@@ -47,3 +47,31 @@ def summary(documents: DataFrame, queries: DataFrame, judged: DataFrame) -> Data
     j = per.agg(F.count("*").alias("judged_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("judgments"), F.coalesce(F.sum("p"), F.lit(0)).alias("positive_judgments"))
     one = lambda df: df.withColumn("_k", F.lit(1))
     return one(d).join(one(q), "_k").join(one(j), "_k").drop("_k")
+
+
+def draft_violations(queries: DataFrame, judged: DataFrame, documents: DataFrame, max_queries: int = 500) -> DataFrame:
+    """FL14: broken rules of a draft: (rule, n). queries (query_id, text, category), judged
+    (query_id, doc_id, grade), documents (doc_id). Query ids read q and three digits or more, texts and
+    categories aren't empty, grades are 0 to 3, pairs and ids are unique and refer to what exists."""
+    rules = [
+        ("bad_query_id", queries.where(~F.coalesce(F.col("query_id").rlike(r"^q\d{3,}\z"), F.lit(False)))),
+        ("empty_text", queries.where("text is null or trim(text) = ''")),
+        ("empty_category", queries.where("category is null or trim(category) = ''")),
+        ("duplicate_query", queries.groupBy("query_id").count().where("count > 1")),
+        ("bad_grade", judged.where("grade is null or grade not between 0 and 3")),
+        ("duplicate_judgment", judged.groupBy("query_id", "doc_id").count().where("count > 1")),
+        ("unknown_query", judged.join(queries.select("query_id"), "query_id", "left_anti")),
+        ("unknown_document", judged.join(documents.select("doc_id"), "doc_id", "left_anti")),
+        ("too_many_queries", queries.groupBy().count().where(F.col("count") > max_queries)),
+    ]
+    out = None
+    for rule, rows in rules:
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out.where("n > 0")
+
+
+def next_query_id(queries: DataFrame) -> str:
+    """AG30: one more than the largest number, three digits at least."""
+    top = queries.agg(F.max(F.regexp_extract("query_id", r"^q(\d+)\z", 1).try_cast("bigint"))).first()[0] or 0
+    return f"q{top + 1:03d}"

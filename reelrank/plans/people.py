@@ -261,5 +261,40 @@ def catalogue_match_band(spark, folder):
     return ml.match_catalogue(wanted, films)
 
 
-_ALL = [entity_registry_people, entity_registry_genres, entity_registry_tags, entity_page, entity_related, typeahead_titles, typeahead_people, exact_people, partial_people, fuzzy_person_join, genre_corrections, control_corrections, recurring_title_phrases, fuzzy_phrase_join, title_corrections, query_corrections, person_popularity_boost, review_keep_last, judgment_status, pool_round_robin, review_progress, baseline_compare, case_summary_grouping_sets, case_pass_rates, hash_shuffle_sample, alias_coverage, unicode_alias_match, alias_suggestions, query_grounding, genre_grammar, catalogue_match_band]
+def query_plans(spark, folder):
+    """PL14, PL17-PL22: the whole plans of the search queries."""
+    from reelrank.plans.planner import plan_queries
+
+    p = plan_queries(cat.search_queries(spark, folder), cut(cat.titles(spark, folder)), cut(_people(spark, folder)), table(spark, folder, "genre_names").select("genre"), cat.genre_aliases(spark, folder))
+    return p.select("query_id", "effective_query", "correction", F.array_join("person_ids", ",").alias("people"), F.array_join(F.array_sort("genres"), "|").alias("genres"), "year_min", "year_max", "rating_min", "title_query", "field_query", "strategy", "intent", F.array_join("concepts", " ").alias("concepts"), "sort_source")
+
+
+def judgment_pool(spark, folder):
+    """QY12, FL4, SO11: what each search query's filters keep where a missing year counts as
+    0, the best rated first."""
+    from reelrank.operators import index as ix
+    from reelrank.plans import search as sr
+
+    r = cut(cat.records(spark, folder))
+    found = ix.filtered(sr.plan(cat.search_queries(spark, folder), cat.genre_aliases(spark, folder)).where("has_metadata"), r, null_year_is_zero=True)
+    j = found.join(r.select("id", "title", "average_rating", "rating_count"), "id")
+    return cp.ranked_within(j, ["query_id"], [F.desc_nulls_last("average_rating"), F.desc("rating_count"), F.asc("title"), F.asc("id")], 20).select("query_id", "rank_no", "id", "rating_count")
+
+
+def genre_evidence(spark, folder):
+    """QY11, WN9, WN10: single-genre discovery under four weightings, pooled: each record's first
+    strategy and best rank."""
+    from reelrank.operators.ranking import genre_focus, structured_genre_score
+
+    rows = cp.rating_evidence(cat.records(spark, folder))
+    held = rows.select("*", F.explode(F.array_distinct("genres")).alias("genre")).withColumn("wanted", F.array("genre"))
+    held = held.withColumn("genre_focus", genre_focus(F.col("wanted"), F.col("genres"))[1])
+    strategies = [(15, 55, 30), (40, 30, 30), (0, 100, 0), (0, 0, 100)]
+    scores = [F.struct(F.lit(i).alias("strategy"), structured_genre_score(F.size("wanted"), dict(zip(("genre_focus", "bayesian_rating", "rating_evidence"), w))).alias("score")) for i, w in enumerate(strategies)]
+    lists = held.select("genre", "id", "rating_count", F.explode(F.array(*scores)).alias("s")).select("genre", "id", "rating_count", "s.*")
+    top = cp.ranked_within(lists, ["genre", "strategy"], [F.desc("score"), F.desc("rating_count"), F.asc("id")], 10)
+    return top.groupBy("genre", "id").agg(F.min("strategy").alias("first_strategy"), F.min("rank_no").alias("best_rank"), F.count("*").alias("n_strategies"))
+
+
+_ALL = [query_plans, judgment_pool, genre_evidence, entity_registry_people, entity_registry_genres, entity_registry_tags, entity_page, entity_related, typeahead_titles, typeahead_people, exact_people, partial_people, fuzzy_person_join, genre_corrections, control_corrections, recurring_title_phrases, fuzzy_phrase_join, title_corrections, query_corrections, person_popularity_boost, review_keep_last, judgment_status, pool_round_robin, review_progress, baseline_compare, case_summary_grouping_sets, case_pass_rates, hash_shuffle_sample, alias_coverage, unicode_alias_match, alias_suggestions, query_grounding, genre_grammar, catalogue_match_band]
 QUERIES = {f.__name__: f for f in _ALL}

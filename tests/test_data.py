@@ -203,6 +203,35 @@ def test_corrections(spark):
     assert exact == {("e", "tc")}
 
 
+def test_plans(spark):
+    from reelrank.plans.planner import parser_cases, plan_queries
+
+    people = spark.createDataFrame(PEOPLE, "entity_id string, name string, roles array<string>, movie_count int, actor_movie_count int, director_movie_count int")
+    titles = ["Interstellar", "Horror of Dracula", "Horror Express"]
+    records = spark.createDataFrame([(str(i), t) for i, t in enumerate(titles)], "id string, title string")
+    texts = {"x": "Interstellar", "g": "horror movies", "f": "horror movies after 1990", "e": "films starring tom cruise", "l": "latest movies", "s": "steven", "t": "dark dream harbor"}
+    q = spark.createDataFrame(list(texts.items()), "query_id string, text string")
+    p = plan_queries(q, records, people, spark.createDataFrame([("Horror",)], "genre string"))
+    got = {r.query_id: r for r in p.collect()}
+    assert (got["x"].intent, got["x"].strategy, got["x"].title_priority, got["x"].concepts) == ("exact_title", "exact_title", "exact", [])
+    assert got["g"].intent == "discovery" and got["g"].is_pure_genre and got["g"].title_query == "" and got["g"].field_query == ""
+    assert got["f"].intent == "filtered_discovery" and got["f"].year_min == 1991 and got["f"].strategy == "structured"
+    assert got["e"].intent == "person_discovery" and got["e"].person_ids == ["tc"] and got["e"].field_query == "tom cruise" and got["e"].title_query == "" and got["e"].field_role == "actor"
+    assert got["l"].intent == "sorted_discovery" and got["l"].sort_source == "latest"
+    assert got["s"].intent == "person_discovery" and got["s"].person_candidates == ["ss"] and got["s"].person_intent
+    assert got["t"].intent == "general_search" and got["t"].concepts == ["dark", "dream", "harbor"] and got["t"].expansions == ["gritty", "crime", "thriller"]
+    expected = spark.createDataFrame([("x", "exact_title", []), ("g", "discovery", ["Comedy"])], "query_id string, intent string, genres array<string>")
+    assert {r.query_id: r.mismatches for r in parser_cases(p, expected).collect()} == {"x": [], "g": ["genres"]}
+
+
+def test_draft(spark):
+    q = spark.createDataFrame([("q001", "a", "c"), ("q1", " ", None), ("q001", "b", "c")], "query_id string, text string, category string")
+    j = spark.createDataFrame([("q001", "d1", 2), ("q001", "d1", 4), ("q009", "dx", 1)], "query_id string, doc_id string, grade int")
+    got = {r.rule: r.n for r in validation.draft_violations(q, j, spark.createDataFrame([("d1",)], "doc_id string")).collect()}
+    assert got == {"bad_query_id": 1, "empty_text": 1, "empty_category": 1, "duplicate_query": 1, "bad_grade": 1, "duplicate_judgment": 1, "unknown_query": 1, "unknown_document": 1}
+    assert validation.next_query_id(q) == "q002"
+
+
 def test_within_distance_is_exact(spark):
     import random
 
