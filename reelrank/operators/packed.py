@@ -263,6 +263,9 @@ def explode_packed(
     blank and placeholder fields (any case, quoted or bracketed) give no row. An unclosed
     quote or bracket is an ordinary character. Rows of df are not made distinct; other
     columns, whatever their names, don't matter."""
+    taken = [c.lower() for c in keep]
+    if len(set(taken)) < len(taken) or {pos.lower(), value.lower()} & set(taken):
+        raise ValueError("keep must hold different names, none of them that of pos or value")
     ship(df.sparkSession)
     base = dialect or Dialect(placeholders=frozenset(placeholders))
     src = quoted(column)

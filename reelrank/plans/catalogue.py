@@ -14,7 +14,7 @@ from reelrank.operators import validation
 from reelrank.plans import search as sr
 from reelrank.plans.metadata import aliases_for
 from reelrank.plans.sql import ORACLE  # noqa: F401
-from reelrank.runtime import clean_key, table
+from reelrank.runtime import clean_key, cut, table
 
 TOP = 12
 
@@ -159,8 +159,8 @@ def metadata_parse(spark, folder):
 
 def metadata_filters(spark, folder):
     """FL1: what the filters of each search query keep."""
-    p = sr.plan(search_queries(spark, folder), genre_aliases(spark, folder))
-    return ix.filtered(p.where("has_metadata"), records(spark, folder))
+    p = cut(sr.plan(search_queries(spark, folder), genre_aliases(spark, folder)))
+    return ix.filtered(p.where("has_metadata"), cut(records(spark, folder)))
 
 
 def index_statistics(spark, folder):

@@ -276,7 +276,8 @@ def judgment_pool(spark, folder):
     from reelrank.plans import search as sr
 
     r = cut(cat.records(spark, folder))
-    found = ix.filtered(sr.plan(cat.search_queries(spark, folder), cat.genre_aliases(spark, folder)).where("has_metadata"), r, null_year_is_zero=True)
+    plans = cut(sr.plan(cat.search_queries(spark, folder), cat.genre_aliases(spark, folder)))
+    found = ix.filtered(plans.where("has_metadata"), r, null_year_is_zero=True)
     j = found.join(r.select("id", "title", "average_rating", "rating_count"), "id")
     return cp.ranked_within(j, ["query_id"], [F.desc_nulls_last("average_rating"), F.desc("rating_count"), F.asc("title"), F.asc("id")], 20).select("query_id", "rank_no", "id", "rating_count")
 
