@@ -1,4 +1,4 @@
-"""Entity browsing and typeahead (FL6, FL9, SO8-SO10, SO12, QY4, QY5, JN16)."""
+"""Entity browsing and typeahead (FL6, FL9, SO8-SO10, SO12, QY4, QY5, JN13, JN14, JN16)."""
 
 from __future__ import annotations
 
@@ -43,6 +43,29 @@ def in_every_group(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return held.join(wanted, "query_id").where("held = n").select("query_id", "movie_id")
 
 
+def person_movies(groups: DataFrame, people: DataFrame, credits: DataFrame, records: DataFrame) -> DataFrame:
+    """JN14: (query_id, group_no, movie_id): the movies of each group's person. groups: (query_id,
+    group_no, entity_id, role), a null role for any; people: (entity_id, name, movie_ids array);
+    credits: (entity_id, role, movie_id); records: (id, cast, directors), arrays of names.
+
+    People with credits have those of the role (and no others, even if there are none); people
+    without have their movie_ids where no role is asked for; else they have the records that name
+    them in the cast, for directors in the directors, for no such role in either."""
+    bare = lambda c: F.regexp_replace(F.col(c).cast("string"), "^movie:movielens:", "")
+    role = F.nullif(F.col("role"), F.lit(""))
+    g = groups.select("query_id", "group_no", "entity_id", role.alias("role")).distinct()
+    c = credits.where("movie_id is not null").select("entity_id", F.col("role").alias("as_role"), bare("movie_id").alias("movie_id")).distinct()
+    own = g.join(c, "entity_id").where(F.col("role").isNull() | (F.col("role") == F.col("as_role"))).select("query_id", "group_no", "movie_id")
+    rest = g.join(people, "entity_id").join(c.select("entity_id").distinct(), "entity_id", "left_anti")
+    listed = F.col("role").isNull() & (F.coalesce(F.size("movie_ids"), F.lit(0)) > 0)
+    by_list = rest.where(listed).select("query_id", "group_no", F.explode("movie_ids").alias("movie_id")).select("query_id", "group_no", bare("movie_id").alias("movie_id"))
+    named = lambda field, kind: records.select(F.col("id").alias("movie_id"), F.lit(kind).alias("as_role"), F.explode(field).alias("name"))
+    names = named("cast", "actor").unionByName(named("directors", "director"))
+    any_role = F.col("role").isNull() | ~F.col("role").isin("actor", "director")
+    by_name = rest.where(~listed).join(names, "name").where(any_role | (F.col("role") == F.col("as_role"))).select("query_id", "group_no", "movie_id")
+    return own.unionByName(by_list).unionByName(by_name).distinct()
+
+
 def typeahead(queries: DataFrame, entities: DataFrame, n: int = 6) -> DataFrame:
     """QY4/SO12: the n best names for each prefix: (query_id, rank_no, id, name, score). queries:
     (query_id, text); entities: (id, name, weight). A name that is the text scores 4, one that starts

@@ -3,10 +3,14 @@ one aggregation, reports over them."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelrank.functions import text as tx
 from reelrank.runtime import clean_key
 
 METRICS = ["candidate_recall", "precision_at_k", "recall_at_k", "recall_at_recall_k", "reciprocal_rank", "ndcg_at_k", "candidate_recall_grade_2", "precision_at_k_grade_2", "recall_at_k_grade_2", "recall_at_recall_k_grade_2", "reciprocal_rank_grade_2", "judged_at_k"]
@@ -91,6 +95,12 @@ def nearest_rank(value: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {value})")
 
 
+def median(value: str) -> Column:
+    """AG12: the middle value; of an even number the mean of the middle two, to 3 decimals."""
+    middle = F.percentile(F.col(value).cast("double"), 0.5)
+    return F.when(F.count(value) % 2 == 1, middle).otherwise(tx.fixed(middle, 3))
+
+
 def summarize(per_query: DataFrame) -> DataFrame:
     """AG8/AG10: the report over all judged queries, one row."""
     means = [F.avg(m).alias({"reciprocal_rank": "mrr", "reciprocal_rank_grade_2": "mrr_grade_2"}.get(m, m)) for m in METRICS]
@@ -116,6 +126,84 @@ def case_rates(trials: DataFrame, case: str, passed: str) -> DataFrame:
     return per.agg(F.count("*").alias("cases"), F.sum("trials").alias("trials"), F.avg("rate").alias("pass_rate"), F.stddev_samp("rate").alias("deviation"), F.greatest(F.lit(0.0), F.avg("rate") - half).alias("low"), F.least(F.lit(1.0), F.avg("rate") + half).alias("high"), F.count_if(F.expr("rate > 0 and rate < 1")).alias("flaky"))
 
 
+#: The filters that a case compares.
+CASE_FILTERS = ["year_min", "year_max", "rating_min", "count_min"]
+
+
+def assess_cases(cases: DataFrame, live: bool = False) -> DataFrame:
+    """AG24: one row per case: (case_id, checks map, failed_checks, passed, recall, precision,
+    mrr, ndcg10).
+
+    cases: (case_id, expected, actual), both structs with `ids` (the results in order), title_ids,
+    genres (arrays), genre_mode, year_min, year_max, rating_min, count_min, sort_field,
+    sort_direction and blocked. expected has also people (ids), roles (map of id to role), ordered,
+    unresolved_kind, fast_path and local_mode; actual has people (structs of id and role),
+    unavailable (array) and mode. Sets compare without order, null equals null, a null array is
+    empty. Relevance is binary; metrics without relevant documents are null (precision only
+    where nothing was returned either)."""
+    names = {side: {f.name: f.dataType.simpleString() for f in cases.schema[side].dataType.fields} for side in ("expected", "actual")}
+    items = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.array().cast(names[side][c]))
+    e, a = (lambda c: F.col(f"expected.{c}")), (lambda c: F.col(f"actual.{c}"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    same = lambda c: F.array_sort(items("expected", c)) == F.array_sort(items("actual", c))
+    both = lambda cols: reduce(lambda x, y: x & y, [e(c).eqNullSafe(a(c)) for c in cols])
+    people = items("actual", "people")
+    roles = F.coalesce(F.map_entries(e("roles")), F.array().cast("array<struct<key:string,value:string>>"))
+    held = lambda r: F.get(F.filter(people, lambda p: p["id"] == r["key"]), F.lit(0))["role"]
+    kind, missing = e("unresolved_kind"), items("actual", "unavailable")
+    resolved = F.when(kind == "explicit", F.size(missing) > 0).when(kind != "", F.exists(missing, lambda m: F.startswith(m, kind))).otherwise(F.size(missing) == 0)
+    ordered = items("expected", "ids") == items("actual", "ids")
+    checks = {
+        "execution": yes(a("mode") == F.when(yes(e("fast_path")), F.coalesce(e("local_mode"), F.lit("exact_alias"))).otherwise("model")) if live else F.lit(True),
+        "people": F.array_sort(items("expected", "people")) == F.array_sort(F.transform(people, lambda p: p["id"])),
+        "roles": F.forall(roles, lambda r: yes(held(r) == r["value"])),
+        "title": same("title_ids"),
+        "genres": same("genres"),
+        "genre_mode": (F.size(items("expected", "genres")) < 2) | e("genre_mode").eqNullSafe(a("genre_mode")),
+        "filters": both(CASE_FILTERS),
+        "sort": both(["sort_field", "sort_direction"]),
+        "blocked": e("blocked").eqNullSafe(a("blocked")),
+        "unresolved": yes(resolved),
+        "results": same("ids"),
+        "order": ~yes(e("ordered")) | ordered,
+    }
+    c = cases.select("case_id", F.create_map(*[x for k, v in checks.items() for x in (F.lit(k), v)]).alias("checks"), items("expected", "ids").alias("_want"), items("actual", "ids").alias("_got"))
+    c = c.withColumn("_hit", F.transform("_got", lambda d: F.array_contains("_want", d).cast("double")))
+    gain = lambda xs: F.aggregate(F.transform(F.slice(xs, 1, 10), lambda x, i: x / F.log2(i + 2.0)), F.lit(0.0), lambda s, x: s + x)
+    n, hits, first = F.size("_want"), F.aggregate("_hit", F.lit(0.0), lambda s, x: s + x), F.array_position("_hit", 1.0)
+    return c.select(
+        "case_id", "checks", F.filter(F.map_keys("checks"), lambda k: ~F.col("checks")[k]).alias("failed_checks"), F.forall(F.map_values("checks"), lambda v: v).alias("passed"),
+        F.when(n > 0, hits / F.size(F.array_distinct("_want"))).alias("recall"),
+        F.when(F.size("_got") > 0, F.try_divide(hits, F.size("_got"))).when(n > 0, 0.0).alias("precision"),
+        F.when(n > 0, F.when(first > 0, F.try_divide(F.lit(1.0), first)).otherwise(0.0)).alias("mrr"),
+        F.when(n > 0, F.try_divide(gain(F.col("_hit")), gain(F.transform("_want", lambda d: F.lit(1.0))))).alias("ndcg10"),
+    )
+
+
+def fallback_reasons(trials: DataFrame) -> DataFrame:
+    """AG23: (fallback_reason, trials): how often each reason occurred; none and blank don't count."""
+    return trials.where("fallback_reason <> ''").groupBy("fallback_reason").agg(F.count("*").alias("trials"))
+
+
+def token_usage(trials: DataFrame, rates: tuple[float, float, float] | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """AG23: one row: input_tokens, output_tokens, cached_input_tokens and unreported_calls (calls
+    of a model without usage) over trials (fast_path, usage struct of the three counts);
+    cost_usd and cost_per_attempt_usd with rates in USD a million input, output and cached input
+    tokens, null without. errors (usage): failed calls, which are paid for too but are in the
+    costs only; attempts are trials and errors."""
+    if rates is not None and not all(math.isfinite(r) and r >= 0 for r in rates):
+        raise ValueError("rates must be finite and not negative")
+    kinds = ["input_tokens", "output_tokens", "cached_input_tokens"]
+    rows = trials.select("usage", F.coalesce("fast_path", F.lit(False)).alias("fast_path"), F.lit(False).alias("failed"))
+    if errors is not None:
+        rows = rows.unionByName(errors.select("usage", F.lit(True).alias("fast_path"), F.lit(True).alias("failed")))
+    of = lambda k, failed: F.coalesce(F.sum(F.when(F.col("failed") == failed, F.coalesce(F.col(f"usage.{k}"), F.lit(0)).cast("bigint"))), F.lit(0))
+    per = rows.agg(*[of(k, False).alias(k) for k in kinds], F.count_if(~F.col("fast_path") & F.col("usage").isNull()).alias("unreported_calls"), *[of(k, True).alias(f"_{k}") for k in kinds], F.count_if(~F.col("failed")).alias("_trials"), F.count("*").alias("_attempts"))
+    i, o, h = (F.col(k) + F.col(f"_{k}") for k in kinds)
+    cost = F.lit(None).cast("double") if rates is None else ((i - h) * F.lit(float(rates[0])) + o * F.lit(float(rates[1])) + h * F.lit(float(rates[2]))) / 1e6
+    return per.withColumn("cost_usd", cost).select(*kinds, "unreported_calls", "cost_usd", F.when(F.col("_trials") > 0, F.try_divide("cost_usd", "_attempts")).alias("cost_per_attempt_usd"))
+
+
 # --- gates and comparisons
 
 #: Metric, bound, direction.

@@ -1,5 +1,5 @@
 """Unicode aliases, grounding and the genre grammar in three scripts (IX16-IX19, PL23, QY3,
-JN13-JN15)."""
+JN15)."""
 
 from __future__ import annotations
 

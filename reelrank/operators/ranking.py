@@ -125,6 +125,15 @@ def base_order() -> list[Column]:
     ]
 
 
+def numeric_order(value: Column) -> list[Column]:
+    """SO6: order by text in which runs of digits count as numbers, whatever the case; of equal
+    ones by the text itself. Symbols come before digits, digits before letters."""
+    parts = F.regexp_extract_all(F.lower(value), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    number = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    sized = lambda n: F.concat(F.lpad(F.length(n).cast("string"), 10, "0"), n)
+    return [F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), sized(number(p))).otherwise(p)), "").asc(), value.asc()]
+
+
 def boost_people(ranked: DataFrame, credits: DataFrame) -> DataFrame:
     """RK11/JN12/WN3: ranked (query_id, id, base_rank, combined_score, rating_evidence,
     prefix_match, title_intent, person_intent) with the popularity boost of the people each
