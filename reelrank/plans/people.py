@@ -124,14 +124,14 @@ def fuzzy_phrase_join(spark, folder):
 
 
 def title_corrections(spark, folder):
-    """PL11-PL13, JN9, WN4 for the search queries."""
-    return co.title_corrections(cat.search_queries(spark, folder), cat.titles(spark, folder))
+    """PL11-PL13, JN9, WN4 for every query."""
+    return co.title_corrections(_all_queries(spark, folder), cat.titles(spark, folder))
 
 
 def query_corrections(spark, folder):
-    """PL14: the winning correction of each search query."""
+    """PL14: the winning correction of each query."""
     genres = table(spark, folder, "genre_names").select("genre")
-    return co.corrections(cut(cat.search_queries(spark, folder)), cut(cat.titles(spark, folder)), cut(_people(spark, folder)), genres)
+    return co.corrections(cut(_all_queries(spark, folder)), cut(cat.titles(spark, folder)), cut(_people(spark, folder)), genres)
 
 
 def person_popularity_boost(spark, folder):
@@ -262,10 +262,10 @@ def catalogue_match_band(spark, folder):
 
 
 def query_plans(spark, folder):
-    """PL14, PL17-PL22: the whole plans of the search queries."""
+    """PL14, PL17-PL22: the whole plan of every query."""
     from reelrank.plans.planner import plan_queries
 
-    p = plan_queries(cat.search_queries(spark, folder), cut(cat.titles(spark, folder)), cut(_people(spark, folder)), table(spark, folder, "genre_names").select("genre"), cat.genre_aliases(spark, folder))
+    p = plan_queries(_all_queries(spark, folder), cut(cat.titles(spark, folder)), cut(_people(spark, folder)), table(spark, folder, "genre_names").select("genre"), cat.genre_aliases(spark, folder))
     return p.select("query_id", "effective_query", "correction", F.array_join("person_ids", ",").alias("people"), F.array_join(F.array_sort("genres"), "|").alias("genres"), "year_min", "year_max", "rating_min", "title_query", "field_query", "strategy", "intent", F.array_join("concepts", " ").alias("concepts"), "sort_source")
 
 

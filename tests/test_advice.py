@@ -66,3 +66,16 @@ def test_person_movies(spark):
     for r in en.person_movies(groups, people, credits, records).collect():
         got.setdefault(r.query_id, set()).add(r.movie_id)
     assert got == {"c:None": {"1", "2"}, "c:actor": {"1"}, "c:director": {"2"}, "l:None": {"5", "6"}, "l:actor": {"7"}, "l:writer": {"7"}, "n:None": {"7", "8"}, "n:actor": {"7"}, "n:director": {"8"}, "n:writer": {"7", "8"}}
+
+
+def test_plans_and_corrections_of_every_query(spark, tmp_path):
+    """Not only of those whose number is divisible by 20."""
+    from reelrank.plans import people
+
+    rows = {"queries": ([("q1", "interstelar"), ("q20", "interstelar"), ("q21", "horror movies"), ("own", "heat")], "_id string, text string"), "movies": ([("1", "Interstellar (2014)", "Drama"), ("2", "Heat (1995)", "Crime")], "movieId string, title string, genres string")}
+    rows |= {"documents": ([("1", "Jane Roe plays a pilot.")], "movieId string, text string"), "genre_names": ([("Drama",), ("Crime",)], "genre string")}
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    ids = lambda query: {r.query_id for r in query(spark, str(tmp_path)).collect()}
+    assert ids(people.query_plans) == {"q1", "q20", "q21", "own"}
+    assert ids(people.title_corrections) == ids(people.query_corrections) == {"q1", "q20"}
