@@ -61,19 +61,33 @@ def genre_discovery_topk(spark, folder):
 
 
 def compound_genre_topk(spark, folder):
-    """RK9 with compound weights: every genre together with Drama, both required."""
+    """RK9 with compound weights: every genre together with Drama, both required; all others are
+    in compound_genre_pairs_topk."""
     return _discovery(spark, folder, F.array(F.col("genre"), F.lit("Drama")), "compound")
 
 
+def compound_genre_pairs_topk(spark, folder):
+    """RK9 with compound weights: every two genres that some record holds, both required. `genre`
+    is the lesser of the two."""
+    genres = F.array_sort(F.array_distinct("genres"))
+    pairs = F.flatten(F.transform(genres, lambda a: F.transform(F.filter(genres, lambda b: b > a), lambda b: F.struct(a.alias("genre"), b.alias("other")))))
+    held = cp.rating_evidence(records(spark, folder)).withColumn("p", F.explode(pairs)).select("*", "p.genre", "p.other").drop("p")
+    return _best(held.withColumn("wanted", F.array("genre", "other")), ["genre", "other"])
+
+
 def _discovery(spark, folder, wanted, kind):
     rows = cp.rating_evidence(records(spark, folder))
     held = rows.select("*", F.explode(F.array_distinct("genres")).alias("genre")).withColumn("wanted", wanted)
     if kind == "compound":
         held = held.where((F.col("genre") != "Drama") & F.array_contains("genres", "Drama"))
+    return _best(held, ["genre"])
+
+
+def _best(held, keys):
     _, focus = rk.genre_focus(F.col("wanted"), F.col("genres"))
     scored = held.withColumn("genre_focus", focus).withColumn("score", rk.structured_genre_score(F.size("wanted")))
     average = F.when(F.col("eligible"), F.col("average_rating")).otherwise(0.0)
-    return cp.ranked_within(scored, ["genre"], [F.desc("score"), average.desc(), F.desc("rating_count"), F.asc("title"), F.asc("id")], TOP).select("genre", "rank_no", "id", "score")
+    return cp.ranked_within(scored, keys, [F.desc("score"), average.desc(), F.desc("rating_count"), F.asc("title"), F.asc("id")], TOP).select(*keys, "rank_no", "id", "score")
 
 
 def rating_stats(spark, folder):
@@ -212,6 +226,6 @@ def dataset_summary(spark, folder):
     return validation.summary(table(spark, folder, "movies"), table(spark, folder, "queries"), _judged(spark, folder))
 
 
-_ALL = [title_search_flagship, genre_discovery_topk, compound_genre_topk, rating_stats, corpus_documents, exact_title_collisions, exact_title_lookup, token_lookup_union, token_lookup_intersect, trigram_candidates, edit_similarity_topk, token_coverage_topk, ordered_proximity, field_match_best, metadata_parse, metadata_filters, index_statistics, eval_per_query, eval_summary, eval_by_category, regression_gate, integrity_violations, dataset_summary]
+_ALL = [title_search_flagship, genre_discovery_topk, compound_genre_topk, compound_genre_pairs_topk, rating_stats, corpus_documents, exact_title_collisions, exact_title_lookup, token_lookup_union, token_lookup_intersect, trigram_candidates, edit_similarity_topk, token_coverage_topk, ordered_proximity, field_match_best, metadata_parse, metadata_filters, index_statistics, eval_per_query, eval_summary, eval_by_category, regression_gate, integrity_violations, dataset_summary]
 QUERIES = {f.__name__: f for f in _ALL}
 

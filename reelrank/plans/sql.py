@@ -86,6 +86,16 @@ select genre, rank_no::int rank_no, id, score from (
   select *, row_number() over (partition by genre order by score desc, case when eligible then average_rating else 0.0 end desc, rating_count desc, title, id) rank_no from s2) where rank_no <= 12"""
 
 
+def _genre_pairs() -> str:
+    score = fixed(" + ".join(fixed(f"{s} * {v}::double", 6) for s, v in (("(2::double / greatest(2, len(genres)))", 0.55), ("(bayes / 5)", 0.3), ("evidence", 0.15))), 6)
+    return f"""with {RECORDS}, {evidence('rec')},
+h as (select *, unnest(list_distinct(genres)) genre from ev),
+b as (select id, unnest(list_distinct(genres)) other from ev),
+s2 as (select h.*, other, {score} score from h join b using (id) where other > genre)
+select genre, other, rank_no::int rank_no, id, score from (
+  select *, row_number() over (partition by genre, other order by score desc, case when eligible then average_rating else 0.0 end desc, rating_count desc, title, id) rank_no from s2) where rank_no <= 12"""
+
+
 _TOKENS = f"""with {TITLES}, {SEARCHED},
 tp as (select id, unnest({tokens('tkey')}) token from keyed),
 qx as (select query_id, len(ts) n_tokens, unnest(ts) token from qt),
@@ -179,6 +189,7 @@ _SUMMARY = (
 ORACLE = {
     "genre_discovery_topk": _discovery(False),
     "compound_genre_topk": _discovery(True),
+    "compound_genre_pairs_topk": _genre_pairs(),
     "rating_stats": f"""with {RATED}, {evidence('ra')}
 select id, average_rating, rating_count, eligible, {fixed('bayes', 6)} bayesian_rating, {fixed('evidence', 6)} rating_evidence from ev""",
     "corpus_documents": f"""with {RECORDS}, {_TAGS}, tc as (select id, count(*) n from tl group by 1),

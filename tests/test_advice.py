@@ -79,3 +79,14 @@ def test_plans_and_corrections_of_every_query(spark, tmp_path):
     ids = lambda query: {r.query_id for r in query(spark, str(tmp_path)).collect()}
     assert ids(people.query_plans) == {"q1", "q20", "q21", "own"}
     assert ids(people.title_corrections) == ids(people.query_corrections) == {"q1", "q20"}
+
+
+def test_compound_genres_without_drama(spark, tmp_path):
+    from reelrank.plans import catalogue as cat
+
+    rows = {"movies": ([("1", "A (2000)", "Comedy|Romance"), ("2", "B (2000)", "Romance|Comedy|Drama"), ("3", "C (2000)", "Comedy")], "movieId string, title string, genres string")}
+    rows |= {"ratings": ([("1", "1", 4.0, 1)], "userId string, movieId string, rating double, timestamp long"), "tags": ([("1", "1", "x", 1)], "userId string, movieId string, tag string, timestamp long"), "links": ([("1", "1", "1")], "movieId string, imdbId string, tmdbId string")}
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(r.genre, r.other, r.rank_no, r.id) for r in cat.QUERIES["compound_genre_pairs_topk"](spark, str(tmp_path)).collect()}
+    assert got == {("Comedy", "Romance", 1, "1"), ("Comedy", "Romance", 2, "2"), ("Comedy", "Drama", 1, "2"), ("Drama", "Romance", 1, "2")}
