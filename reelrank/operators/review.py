@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelrank.functions import text as tx
 from reelrank.operators.corpus import keep_last, ranked_within
+from reelrank.runtime import fresh_name, quoted
 
 #: Fixed values of pooling.
 STRATEGY_DEPTH, POOL_SIZE, SOURCES = 10, 40, 4
@@ -88,7 +90,20 @@ def agreement(judged: DataFrame) -> DataFrame:
 
 
 def calibration_sample(negatives: DataFrame, item: str, seed: str, every: int = 4) -> DataFrame:
-    """QY15/TX31: every fourth row of the order by SHA-256 of seed and item. Which rows those
-    are depends on the item alone: the hash's leading digits, so there is no global sort."""
-    h = F.conv(F.left(F.sha2(F.concat(F.lit(seed + "\x00"), F.col(item).cast("string")), 256), F.lit(8)), 16, 10).cast("bigint")
-    return negatives.where(h % every == 0)
+    """QY15/TX31: the first and then every fourth row of the order by SHA-256 of seed and item.
+    Items must be distinct; rows without one are left out. No task sees the whole order: rows are
+    numbered within the ranges of the hash's three leading digits, after those of earlier ranges."""
+    h, r, p, n = (fresh_name(negatives, x) for x in ("_hash", "_range", "_place", "_before"))
+    rows = negatives.where(F.col(item).isNotNull()).withColumn(h, tx.shuffle_key(seed, F.col(item))).withColumn(r, F.left(h, F.lit(3)))
+    sizes = rows.groupBy(r).agg(F.count("*").alias(p))
+    before = F.coalesce(F.sum(p).over(W.orderBy(r).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn(p, F.row_number().over(W.partitionBy(r).orderBy(h, item)))
+    starts = F.broadcast(sizes.select(r, before.alias(n)))  # at most 4,096 ranges
+    return placed.join(starts, r).where((F.col(n) + F.col(p) - 1) % every == 0).select(*[quoted(c) for c in negatives.columns])
+
+
+def hash_sample(rows: DataFrame, item: str, seed: str, every: int = 4) -> DataFrame:
+    """About every fourth row: those whose SHA-256 of seed and item has leading digits divisible
+    by four. Whether a row is taken depends on its item alone."""
+    h = F.conv(F.left(tx.shuffle_key(seed, F.col(item)), F.lit(8)), 16, 10).cast("bigint")
+    return rows.where(h % every == 0)

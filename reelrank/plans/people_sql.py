@@ -126,4 +126,6 @@ select query_id, {fixed('p', 6)} delta_precision_at_k, {fixed('r', 6)} delta_rec
 select cases, trials, {fixed('a', 6)} pass_rate, {fixed('d', 6)} deviation, {fixed('greatest(0.0::double, a - 1.96::double * coalesce(d, 0) / sqrt(cases))', 6)} low, {fixed('least(1.0::double, a + 1.96::double * coalesce(d, 0) / sqrt(cases))', 6)} high, flaky from s""",
     "hash_shuffle_sample": f"""with m as (select distinct {sql_key('"movieId"')} id from movies where {sql_key('"movieId"')} is not null)
 select id, left(sha256(id), 16) revision from m where ('0x' || left(sha256('calibration' || chr(0) || id), 8))::bigint % 4 = 0""",
+    "hash_shuffle_every_fourth": f"""with m as (select distinct {sql_key('"movieId"')} id from movies where {sql_key('"movieId"')} is not null)
+select id, left(sha256(id), 16) revision from (select id, row_number() over (order by sha256('calibration' || chr(0) || id)) n from m) where n % 4 = 1""",
 }

@@ -1,11 +1,14 @@
 """What the review of round 1 found missing."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from reelrank.operators import entities as en
 from reelrank.operators import evaluation as ev
 from reelrank.operators import ranking as rk
+from reelrank.operators import review as rv
 
 
 def test_median(spark):
@@ -90,3 +93,11 @@ def test_compound_genres_without_drama(spark, tmp_path):
         spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     got = {(r.genre, r.other, r.rank_no, r.id) for r in cat.QUERIES["compound_genre_pairs_topk"](spark, str(tmp_path)).collect()}
     assert got == {("Comedy", "Romance", 1, "1"), ("Comedy", "Romance", 2, "2"), ("Comedy", "Drama", 1, "2"), ("Drama", "Romance", 1, "2")}
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 3001])
+def test_every_fourth_of_the_order(spark, n):
+    items = [f"m{i}" for i in range(n)]
+    rows = spark.createDataFrame([(x,) for x in [*items, None]], "item string")
+    order = sorted(items, key=lambda x: hashlib.sha256(f"s\0{x}".encode()).hexdigest())
+    assert {r.item for r in rv.calibration_sample(rows, "item", "s").collect()} == set(order[::4])
