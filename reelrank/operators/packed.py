@@ -26,6 +26,8 @@ QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»", "`": "`"}
 BRACKETS = {"[": "]", "{": "}", "(": ")"}
 #: Names with a delimiter or a quote inside, beyond which they are looked up by a join.
 INLINE_NAMES = 20_000
+#: Beyond that, characters by which a name is looked up.
+NAME_HEAD = 12
 
 
 @dataclass(frozen=True)
@@ -214,29 +216,36 @@ def split_udf_with_names(dialect: Dialect):
     return split_packed
 
 
-def _spans_udf(dialect: Dialect, longest: int):
-    """string -> the substrings that lie between delimiters and span at least one,
-    of up to `longest` characters: what a name with a delimiter inside may be."""
-    stops = set(dialect.hard) | set(dialect.soft)
+@F.pandas_udf(T.StringType())
+def _stripped(s: pd.Series) -> pd.Series:
+    """Names as the machine holds them."""
+    return s.map(lambda v: None if v is None else v.strip())
+
+
+@F.pandas_udf(T.StringType())
+def _head(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else v[:NAME_HEAD])
+
+
+def _heads_udf(dialect: Dialect, lengths: list[int]):
+    """string -> the texts of these lengths from every place where a value may start: at a
+    delimiter, a quote, a bracket or another sign, or after one."""
+    stops = frozenset(dialect.hard + dialect.soft)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def spans(s: pd.Series) -> pd.Series:
+    def heads(s: pd.Series) -> pd.Series:
         out = []
         for v in s:
             found: set[str] = set()
             if v is not None:
-                cuts = [-1, *(i for i, ch in enumerate(v) if ch in stops), len(v)]
-                for a in range(len(cuts) - 1):
-                    for b in range(a + 1, len(cuts)):
-                        if cuts[b] - cuts[a] - 1 > longest + 8:
-                            break
-                        part = v[cuts[a] + 1 : cuts[b]].strip(" \t\"'[]{}()")
-                        if part and len(part) <= longest:
-                            found.add(part)
+                sign = [not ch.isalnum() or ch in stops for ch in v]
+                for i in range(len(v)):
+                    if i == 0 or sign[i] or sign[i - 1]:
+                        found.update(v[i : i + k] for k in lengths if i + k <= len(v))
             out.append(sorted(found))
         return pd.Series(out)
 
-    return spans
+    return heads
 
 
 def explode_packed(
@@ -280,9 +289,11 @@ def explode_packed(
     if len(first) <= inline_names:
         values = split_udf(Dialect(base.hard, base.soft, base.names | frozenset(first), base.placeholders))(src)
         return df.select(*cols, F.posexplode(values).alias("_p0", "_v0")).select(*[quoted(c) for c in keep], (F.col("_p0") + 1).alias(pos), F.col("_v0").alias(value))
-    longest = special.agg(F.max(F.length("n"))).first()[0]
+    # a name is met by its first characters, then looked for in the field; the machine decides
+    names = special.select(_stripped("n").alias("n")).where("n <> ''").distinct().withColumn("_h", _head("n"))
+    lengths = sorted(r[0] for r in names.select(F.length("_h")).distinct().collect())  # at most NAME_HEAD
     texts = df.select(src.alias("_text")).where(F.col("_text").isNotNull()).distinct()
-    held = texts.select("_text", F.explode(_spans_udf(base, longest)("_text")).alias("n")).join(special, "n", "left_semi").groupBy("_text").agg(F.collect_set("n").alias("_names"))
+    held = texts.select("_text", F.explode(_heads_udf(base, lengths)("_text")).alias("_h")).join(names, "_h").where(F.contains("_text", F.col("n"))).groupBy("_text").agg(F.collect_set("n").alias("_names"))
     split = texts.join(held, "_text", "left").select("_text", split_udf_with_names(base)("_text", "_names").alias("_values"))
     kept = df.select(*[c.alias(f"_k{i}") for i, c in enumerate(cols)], src.alias("_text"))
     rows = kept.join(split, "_text").select(*[f"_k{i}" for i in range(len(keep))], F.posexplode("_values").alias("_p0", "_v0"))

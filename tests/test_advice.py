@@ -9,6 +9,7 @@ from reelrank.operators import entities as en
 from reelrank.operators import evaluation as ev
 from reelrank.operators import ranking as rk
 from reelrank.operators import review as rv
+from reelrank.operators.packed import explode_packed
 
 
 def test_median(spark):
@@ -101,3 +102,13 @@ def test_every_fourth_of_the_order(spark, n):
     rows = spark.createDataFrame([(x,) for x in [*items, None]], "item string")
     order = sorted(items, key=lambda x: hashlib.sha256(f"s\0{x}".encode()).hexdigest())
     assert {r.item for r in rv.calibration_sample(rows, "item", "s").collect()} == set(order[::4])
+
+
+def test_names_by_join_as_inline(spark):
+    """Beyond the bound on inline names the same names are seen."""
+    names = ["Song, Stage", '"Quoted", Name', "Odd (Name), End)", "[A], b", "'Tis, So", "A Very Long Name, Of Many Words", "Plain, One", "x,", "É, É", "\tTab, Name"]
+    texts = ['"Quoted", Name|x', "y; Odd (Name), End)", "[A], b, c", "'Tis, So|'Tis", '"Song, Stage" "Plain, One"', "[Song, Stage] | [Plain, One]", "          [ Song, Stage          ]", "  A Very Long Name, Of Many Words            |z", "x,, x", "[x,]", "É, É/É", "Tab, Name", "Plain, One & Song, Stage", '"a"Plain, One', "Song, Stagehand", "A Very Long Name, Of Many Others"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, genres string")
+    vocabulary = spark.createDataFrame([(n,) for n in names], "genre string")
+    inline, joined = ([tuple(r) for r in explode_packed(df, "genres", ["id"], vocabulary, inline_names=n).orderBy("id", "pos").collect()] for n in (1000, 0))
+    assert joined == inline and ("0", 1, '"Quoted", Name') in inline and ("1", 2, "Odd (Name), End)") in inline
