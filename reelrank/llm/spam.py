@@ -58,8 +58,10 @@ class Settings:
     share: float = 0.5
 
 
+#: A caption of any length; beyond 200 characters it holds no opening bracket, so that a page
+#: full of these is still read in linear time.
 TOKEN = regex.compile(
-    r"(?P<link>\[[^\]\n]{0,200}\]\([^)\s]*\)|<a\b[^>]*>[^<]*</a>|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*)"
+    r"(?P<link>\[(?:[^\]\n]{0,200}|[^\[\]\n]*)\]\([^)\s]*\)|<a\b[^>]*>[^<]*</a>|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*)"
     r"|(?P<tag>[#@][\p{L}\p{M}\p{N}_]+)"
     r"|(?P<word>[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*)"
 )
@@ -191,6 +193,13 @@ def spam_share(text: str, s: Settings = Settings()) -> tuple[float, float, float
         while lines[at][1] < starts[i]:
             at += 1
         line_of[i] = at
+    # lines with a time of day whose words are covered by repetition are no programme
+    said, again_in = [0] * len(lines), [0] * len(lines)
+    for i in range(n):
+        if kinds[i] == "word" and not names[i][0].isdigit():
+            said[line_of[i]] += 1
+            again_in[line_of[i]] += is_cover[i] and near[i]
+    stuffed = [k > 0 and m >= s.dense * k for k, m in zip(said, again_in)]
     # prefix sums over words: clause words, content words, recurring content words
     cw, ct, cr = [0], [0], [0]
     for i in range(n):
@@ -212,7 +221,7 @@ def spam_share(text: str, s: Settings = Settings()) -> tuple[float, float, float
         held, content, again = cw[b] - cw[a], ct[b] - ct[a], cr[b] - cr[a]
         ratio = held / max(1, held + content)
         kind = lines[line_of[i]][2]
-        if kind:
+        if kind == "credit" or kind and not stuffed[line_of[i]]:
             continue
         if ratio <= s.none:
             spam += size
