@@ -129,3 +129,11 @@ def test_long_captions_and_stuffed_timed_lines():
     began = time.time()
     spam_share("[" * 100_000)
     assert time.time() - began < 20
+
+
+def test_tag_clouds_count_without_coverage():
+    """As the README says of problem 10."""
+    from reelrank.llm.spam import spam_share
+
+    share, cover, _ = spam_share("movie (109) sequel (258) hallway (296) railway (216) lantern (211) quilt (274)")
+    assert share == 1.0 and cover == 0.0
