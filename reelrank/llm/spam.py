@@ -1,18 +1,20 @@
 """Keyword-stuffed and link-list pages (problem 10), by suffix automata.
 
-A page is read as a sequence of tokens: words, links (with their captions), tags. Its suffix
-automaton over these tokens gives, for each place, the longest substring ending there that
-recurs at least REPEATS times; together these are the characters covered by repeated maximal
-substrings. Coverage alone also fits refrains and long honest texts, so it counts only where
-clause structure is missing: where few of the words around are those that hold clauses together
-(articles, pronouns, prepositions, conjunctions, auxiliaries), and where the words recur
-at short distances. Links, tags and list items without any clause are counted alike."""
+A page is read twice. As a sequence of words, its suffix automaton gives the characters covered
+by repeated maximal substrings; they count where clauses are missing, that is where few different
+words stand around (a clause hardly repeats a word, stuffing goes on with the same ones), and not
+within a refrain (a long repeat that is a clause itself). As a sequence of shapes (short entry, number,
+link, tag, mark between entries), in which a clause is a symbol of its own that never repeats, a second automaton
+covers lists: entries that follow each other in one repeated shape without any clause. No word of any
+language is known to the operator."""
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -20,98 +22,89 @@ from pyspark.sql import functions as F
 
 from reelrank.runtime import quoted, ship
 
-#: Common words that hold clauses together, by language.
-CLAUSE_WORDS = frozenset(
-    # English
-    "the a an of and or nor but yet so if then else when while until because although though whereas unless since than that this these those "
-    "which who whom whose what why how where there here it its he she they them his her their i me my we us our you your is are was were be been being am "
-    "has have had do does did not no never nobody nothing none can could will would shall should may might must "
-    "to for from with without in into on onto at by as about over under after before behind between near through during against out up off down "
-    "every each either both one once too also only even just more most much many some any such same other another".split()
-    # Hindi in Latin letters
-    + "hai hain tha thi the ho hota hoti ki ke ka ko se mein par ne aur ya lekin magar jabki kyunki isliye phir bhi hi toh to na nahi "
-    "ye yeh wo woh iski iska iske uski uska uske apna apni apne meri mera mere kya jo jab tab har bina saath hisaab jaati jaata aati aata leti leta deti deta lagti lagta rehti rehta karti karta".split()
-    # Hindi
-    + "है हैं था थी थे हो होता होती की के का को से में पर ने और या लेकिन मगर जबकि क्योंकि इसलिए फिर भी ही तो न नहीं "
-    "यह ये वह वो इसकी इसका इसके उसकी उसका उसके अपना अपनी अपने मेरी मेरा मेरे क्या जो जब तब हर बिना साथ हिसाब जाती जाता आती आता लेती लेता देती देता लगती लगता रहती रहता करती करता".split()
-)
-#: What lines of a credit list start with.
-CREDIT_ROLES = frozenset("director directed writer written producer produced editor edited music composer camera photography costumes costume sound cast starring art design story screenplay lyrics playback choreography makeup".split())
-
 
 @dataclass(frozen=True)
 class Settings:
-    """repeats: occurrences from which a substring counts as repeated; near: tokens within
-    which a repeated word recurs when it is stuffed; reach: words looked at on either side
-    for clauses; none, few: shares of clause words up to which a place has no clause, or
-    too few for its repetition; kinds: the same as few, counting each clause word once (a
-    stuffed phrase may hold some, but always the same); dense: share of recurring words that is stuffing; share:
-    part of a page's characters beyond which it is spam."""
+    """repeats: occurrences from which a substring counts as repeated; window: words among which
+    variety is measured; variety: share of different words up to which a place has no
+    clause; refrain, plain: words of a repeat (of its period), and share of different words among them,
+    from which it is a clause of its own; entry: words up to which an entry of a list is no clause; caption: the same beside
+    a number or link; entries: the least entries of a list; share: part of a page's characters
+    beyond which it is spam."""
 
     repeats: int = 3
-    near: int = 40
-    reach: int = 8
-    none: float = 0.1
-    few: float = 0.36
-    kinds: float = 0.32
-    dense: float = 0.7
+    window: int = 32
+    variety: float = 0.5
+    refrain: int = 7
+    plain: float = 0.75
+    entry: int = 3
+    caption: int = 6
+    entries: int = 5
     share: float = 0.5
 
 
-#: A caption of any length; beyond 200 characters it holds no opening bracket, so that a page
-#: full of these is still read in linear time.
-TOKEN = regex.compile(
-    r"(?P<link>\[(?:[^\]\n]{0,200}|[^\[\]\n]*)\]\([^)\s]*\)|<a\b[^>]*>[^<]*</a>|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*)"
+#: A link with its caption, a tag, a time of day, a number (also a code or price), a run of words, a
+#: mark. A caption may have any length; beyond 200 characters it holds no opening bracket, so that a
+#: page full of these is still read in linear time.
+PIECE = regex.compile(
+    r"(?P<link>\[(?:[^\]\n]{0,200}|[^\[\]\n]*)\]\([^)\s]*\)|<a\b[^<>\n]*>[^<\n]*</a>|(?:https?://|www\.)\S+|\b[\w-]{1,63}(?:\.[\w-]{1,63}){1,10}/\S*)"
     r"|(?P<tag>[#@][\p{L}\p{M}\p{N}_]+)"
-    r"|(?P<word>[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*)"
+    r"|(?P<clock>(?<![\p{Sc}\d.,:])\d{1,2}[:h]\d{2}(?![:\p{N}]))"
+    r"|(?P<number>(?:\p{Sc}\s?)?\p{N}[\p{N}\p{L}]*(?:[.,:/-]\p{N}+)*|\p{L}+-\p{N}+)"
+    r"|(?P<words>[\p{L}\p{M}](?:[\p{L}\p{M}\p{N}]|[-'’](?=\p{L}))*(?:[ \t]+(?!https?://|www\.)[\p{L}\p{M}](?:[\p{L}\p{M}\p{N}]|[-'’](?=\p{L}))*+(?![./-]\w))*)"
+    r"|(?P<mark>[^\s\p{L}\p{M}\p{N}]+)"
 )
-CLOCK = regex.compile(r"(?<![\d:.,$€£])\d{1,2}(?::\d{2}(?![\d:])|[.h]\d{2}\s?(?:uhr|h|am|pm)\b)", regex.I)
-#: Longer lines are no lines of a list.
-LIST_LINE = 240
-#: A name, leaders, a part: a line of a cast list.
-LEADERS = regex.compile(r"^\s*[\p{L}\p{M}'’. -]{3,80}?\s*(?:\.{3,}|…|_{3,}|\s[–—]\s|\s{2,})\s*[\p{L}\p{M}]")
+#: Marks or wide gaps that stand between a name and its part in a line.
+LEADER = regex.compile(r"\S(?:\s?(?:\.{3,}|…|_{3,}|:)|\s[–—-]+\s|\t|\s{2})\s*+\S")
+SAYS = ("entry", "number", "link", "tag")
 
 
 class SuffixAutomaton:
-    """Of a sequence of hashable tokens; online, in linear time."""
+    """Of runs of hashable tokens; online, in linear time. None ends a run: no substring
+    reaches over it."""
 
     def __init__(self, tokens: list) -> None:
-        n = len(tokens)
         nexts: list[dict] = [{}]
         link, length, count = [-1], [0], [0]
-        ends = [0] * n
+        ends = [0] * len(tokens)
         last = 0
         for i, t in enumerate(tokens):
-            cur = len(length)
-            length.append(length[last] + 1)
-            count.append(1)
-            link.append(0)
-            nexts.append({})
-            p = last
-            while p != -1 and t not in nexts[p]:
-                nexts[p][t] = cur
-                p = link[p]
-            if p != -1:
-                q = nexts[p][t]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
-                else:
-                    clone = len(length)
-                    length.append(length[p] + 1)
-                    count.append(0)
-                    link.append(link[q])
-                    nexts.append(nexts[q].copy())
-                    while p != -1 and nexts[p].get(t) == q:
-                        nexts[p][t] = clone
-                        p = link[p]
-                    link[q] = link[cur] = clone
-            last = cur
-            ends[i] = cur
+            if t is None:
+                last = 0
+                continue
+            known = nexts[last].get(t)
+            if known is not None and length[known] == length[last] + 1:
+                cur = known
+            else:
+                cur = len(length)
+                length.append(length[last] + 1)
+                count.append(0)
+                link.append(0)
+                nexts.append({})
+                p = last
+                while p != -1 and t not in nexts[p]:
+                    nexts[p][t] = cur
+                    p = link[p]
+                if p != -1:
+                    q = nexts[p][t]
+                    if length[p] + 1 == length[q]:
+                        link[cur] = q
+                    else:
+                        clone = len(length)
+                        length.append(length[p] + 1)
+                        count.append(0)
+                        link.append(link[q])
+                        nexts.append(nexts[q].copy())
+                        while p != -1 and nexts[p].get(t) == q:
+                            nexts[p][t] = clone
+                            p = link[p]
+                        link[q] = link[cur] = clone
+                        if known is not None:  # the run itself ends in the clone
+                            cur = clone
+            count[cur] += 1
+            last = ends[i] = cur
         # occurrences: longer substrings pass theirs on to their suffixes
-        by_length: list[list[int]] = [[] for _ in range(n + 1)]
-        for v in range(1, len(length)):
-            by_length[length[v]].append(v)
-        self.order = [v for level in by_length for v in level]
+        self.order = sorted(range(1, len(length)), key=length.__getitem__)
         for v in reversed(self.order):
             if link[v] > 0:
                 count[link[v]] += count[v]
@@ -126,118 +119,183 @@ class SuffixAutomaton:
         return [best[v] for v in self.ends]
 
 
+def repeats_at(tokens: list, repeats: int) -> np.ndarray:
+    """For each token the length of the longest repeated maximal substring it lies in, 0 for
+    none. Tokens that are themselves too rare end the runs, so most of a page costs nothing."""
+    seen = Counter(tokens)
+    out = np.zeros(len(tokens), dtype=np.int64)
+    kept = [t if t is not None and seen[t] >= repeats else None for t in tokens]
+    if not any(t is not None for t in kept):
+        return out
+    lengths = SuffixAutomaton(kept).repeated_suffixes(repeats)
+    # repeats begin and end one after the other: the longest at hand is at the front
+    spans = [(i + 1 - n, i, n) for i, n in enumerate(lengths) if n and not (i + 1 < len(lengths) and lengths[i + 1] == n + 1)]
+    active: deque[tuple[int, int]] = deque()
+    k = 0
+    for j in range(len(tokens)):
+        while k < len(spans) and spans[k][0] <= j:
+            while active and active[-1][1] <= spans[k][2]:
+                active.pop()
+            active.append(spans[k][1:])
+            k += 1
+        while active and active[0][0] < j:
+            active.popleft()
+        if active:
+            out[j] = active[0][1]
+    return out
+
+
 def covered(tokens: list, repeats: int) -> list[bool]:
     """Which tokens lie in a repeated maximal substring."""
-    out = [False] * len(tokens)
-    reach = len(tokens)
-    lengths = SuffixAutomaton(tokens).repeated_suffixes(repeats)
-    for i in range(len(tokens) - 1, -1, -1):
-        reach = min(reach, i + 1 - lengths[i]) if lengths[i] else reach
-        out[i] = reach <= i
+    return [n > 0 for n in repeats_at(tokens, repeats)]
+
+
+def variety(before: np.ndarray, window: int) -> np.ndarray:
+    """For each word the share of different ones among the `window` around it (fewer on short
+    pages). before: the place where each word stood last, -1 for nowhere."""
+    n = len(before)
+    w = min(window, n)
+    fresh = (np.lib.stride_tricks.sliding_window_view(before, w) < np.arange(n - w + 1)[:, None]).sum(axis=1) / w
+    return fresh[np.clip(np.arange(n) - w // 2, 0, n - w)]
+
+
+def period(words: list[str]) -> int:
+    """The least distance at which the whole sequence repeats itself; its length where it doesn't."""
+    border = [0] * len(words)
+    k = 0
+    for i in range(1, len(words)):
+        while k and words[i] != words[k]:
+            k = border[k - 1]
+        k += words[i] == words[k]
+        border[i] = k
+    return len(words) - k
+
+
+def stuffed(words: list[str], s: Settings) -> np.ndarray:
+    """Which words a repeated maximal substring covers where no clause is."""
+    last: dict[str, int] = {}
+    before = np.empty(len(words), dtype=np.int64)
+    for i, w in enumerate(words):
+        before[i] = last.get(w, -1)
+        last[w] = i
+    bare = variety(before, s.window) <= s.variety if words else np.zeros(0, dtype=bool)
+    if not bare.any():  # clauses everywhere: nothing that repeats would count
+        return bare
+    held = repeats_at(words, s.repeats)
+    counted = bare & (held > 0)
+    # refrains: long repeats whose own words are different ones
+    i, n = 0, len(words)
+    while i < n:
+        j = i
+        while j < n and held[j] == held[i]:
+            j += 1
+        if held[i] >= s.refrain and counted[i:j].any():
+            own = words[i : i + int(held[i])]
+            own = own[: period(own)]
+            if len(own) >= s.refrain and len(set(own)) >= s.plain * len(own):
+                counted[i:j] = False
+        i = j
+    return counted
+
+
+def listed(shape: list, s: Settings) -> np.ndarray:
+    """Which symbols stand in a list: entries of repeated shapes, one after the other, without
+    a clause (None) between, at least s.entries of them unless links or tags are among them."""
+    out = np.zeros(len(shape), dtype=bool)
+    if "link" not in shape and "tag" not in shape and shape.count("entry") + shape.count("number") < s.entries:
+        return out
+
+    def stretches(inside) -> Iterator[tuple[int, int]]:
+        a = 0
+        for b in range(len(shape) + 1):
+            if b == len(shape) or not inside(b):
+                run = shape[a:b]
+                if "link" in run or "tag" in run or sum(x in SAYS for x in run) >= s.entries:
+                    yield a, b
+                a = b + 1
+
+    if not any(True for _ in stretches(lambda b: shape[b] is not None)):
+        return out
+    held = repeats_at(shape, s.repeats)
+    for a, b in stretches(lambda b: held[b] > 0):
+        out[a:b] = True
     return out
 
 
-def _line_kinds(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of each line: `programme` (with a time of day), `credit` or ''."""
-    lines, at = [], 0
+def pieces(text: str, s: Settings) -> tuple[list, list[int], list]:
+    """(shape, sizes, words): the page's symbols, their characters (white space and marks aside) and the
+    words of each. Clauses are None, and so is all in lines with a time of day (programmes) and in
+    lines of words with a leader (casts, credits). Lines with a time of day and at least a figure
+    to two words, timetables, have no words."""
+    shape: list = []
+    sizes: list[int] = []
+    words: list = []
+    find = PIECE.finditer
     for line in text.split("\n"):
-        lines.append((at, at + len(line), line))
-        at += len(line) + 1
-    firsts = []
-    for _, _, line in lines:
-        m = TOKEN.search(line)
-        firsts.append(m.group().lower() if m and m.lastgroup == "word" else "")
-    roles = {w for w in firsts if w in CREDIT_ROLES}
-    credits = len(roles - {"cast", "story", "design", "art"}) >= 3
-    leaders = [bool(LEADERS.match(line)) for _, _, line in lines]
-    cast = sum(leaders) >= 3
-    out = []
-    for (a, b, line), first, lead in zip(lines, firsts, leaders):
-        credit = credits and first in CREDIT_ROLES or cast and lead
-        listed = len(line) <= LIST_LINE
-        out.append((a, b, "programme" if listed and CLOCK.search(line) else "credit" if listed and credit else ""))
-    return out
+        first, kinds = len(shape), []
+        for m in find(line):
+            kind, piece = m.lastgroup, m.group()
+            kinds.append(kind)
+            if kind == "words":
+                own = piece.split()
+                words.append(own)
+                sizes.append(len(piece) if len(own) == 1 else sum(map(len, own)))
+                shape.append(len(own))
+            elif kind == "mark":
+                words.append(None)
+                sizes.append(0)
+                shape.append(piece)
+            else:
+                words.append(None)
+                sizes.append(len(piece))
+                shape.append(kind)
+        if "words" in kinds:
+            figured = "number" in kinds or "link" in kinds
+            if "clock" in kinds or (not figured and "tag" not in kinds and LEADER.search(line) is not None):
+                if "clock" in kinds and sum(x for x, kind in zip(shape[first:], kinds) if kind == "words") <= 2 * (kinds.count("clock") + kinds.count("number")):
+                    words[first:] = [None] * len(kinds)
+                shape[first:] = [None] * len(kinds)
+            else:
+                figure = [kind in ("number", "link") for kind in kinds] + [False, False] if figured else []
+                for i, kind in enumerate(kinds):
+                    if kind == "words":
+                        n = shape[first + i]
+                        beside = figured and n > s.entry and ((i and figure[i - 1]) or figure[i + 1] or (figure[i + 2] and kinds[i + 1] == "mark"))
+                        shape[first + i] = "entry" if n <= (s.caption if beside else s.entry) else None
+        elif "clock" in kinds:
+            shape[first:] = [None] * len(kinds)
+        shape.append("\n")
+        sizes.append(0)
+        words.append(None)
+    return shape, sizes, words
 
 
 def spam_share(text: str, s: Settings = Settings()) -> tuple[float, float, float]:
-    """(share, covered_share, clause_share): the part of the page's characters (white space
-    aside) that is repeated keywords, links or tags; the part covered by repeated maximal
-    substrings; and the share of clause words. 0 for a page without tokens."""
-    starts, ends_, kinds, names = [], [], [], []
-    for m in TOKEN.finditer(text):
-        starts.append(m.start())
-        ends_.append(m.end())
-        kinds.append(m.lastgroup)
-        names.append(m.group().lower())
-    n = len(names)
-    if not n:
+    """(share, repeated_share, listed_share): the part of the page's characters (white space
+    and marks aside) that is repeated keywords, links or tags; the part that is words covered by
+    repeated substrings without clauses; and the part in lists. 0 for a page without any."""
+    shape, sizes, held = pieces(text, s)
+    total = sum(sizes)
+    if not total:
         return 0.0, 0.0, 0.0
-    is_cover = covered(names, s.repeats)
-    # "no. 17" and "only 99" hold no clause together
-    number = [w[0].isdigit() for w in names] + [False]
-    clause = [k == "word" and w in CLAUSE_WORDS and not number[i + 1] for i, (k, w) in enumerate(zip(kinds, names))]
-    # the nearest other occurrence of each word
-    near = [False] * n
-    seen: dict[str, int] = {}
-    last = [-1] * n
-    for i, w in enumerate(names):
-        j = seen.get(w)
-        if j is not None:
-            last[i] = j
-        if j is not None and i - j <= s.near:
-            near[i] = near[j] = True
-        seen[w] = i
-    lines, at = _line_kinds(text), 0
-    line_of = [0] * n
-    for i in range(n):
-        while lines[at][1] < starts[i]:
-            at += 1
-        line_of[i] = at
-    # lines with a time of day whose words are covered by repetition are no programme
-    said, again_in = [0] * len(lines), [0] * len(lines)
-    for i in range(n):
-        if kinds[i] == "word" and not names[i][0].isdigit():
-            said[line_of[i]] += 1
-            again_in[line_of[i]] += is_cover[i] and near[i]
-    stuffed = [k > 0 and m >= s.dense * k for k, m in zip(said, again_in)]
-    # prefix sums over words: clause words, content words, recurring content words
-    cw, ct, cr = [0], [0], [0]
-    for i in range(n):
-        word = kinds[i] == "word"
-        content = word and not clause[i]
-        cw.append(cw[-1] + clause[i])
-        ct.append(ct[-1] + content)
-        cr.append(cr[-1] + (content and is_cover[i] and near[i]))
-    total = spam = cover_chars = 0
-    for i in range(n):
-        size = ends_[i] - starts[i]
-        total += size
-        if is_cover[i]:
-            cover_chars += size
-        if kinds[i] != "word":
-            spam += size
-            continue
-        a, b = max(0, i - s.reach), min(n, i + s.reach + 1)
-        held, content, again = cw[b] - cw[a], ct[b] - ct[a], cr[b] - cr[a]
-        ratio = held / max(1, held + content)
-        kind = lines[line_of[i]][2]
-        if kind == "credit" or kind and not stuffed[line_of[i]]:
-            continue
-        if ratio <= s.none:
-            spam += size
-        elif again >= s.dense * content:
-            # clause words around that didn't stand there just before, each counted once
-            fresh = sum(1 for j in range(a, b) if clause[j] and last[j] < a)
-            if ratio <= s.few or fresh <= s.kinds * (fresh + content):
-                spam += size
-    return spam / total, cover_chars / total, sum(clause) / n
+    in_list = listed(shape, s)
+    lists = int(np.array(sizes)[in_list].sum())
+    words = [w for own in held if own is not None for w in own]
+    counted = stuffed(list(map(str.lower, words)), s)
+    repeated = both = 0
+    if counted.any():
+        size = np.array(list(map(len, words)))
+        inside = np.repeat(in_list, [0 if own is None else len(own) for own in held])
+        repeated = int(size[counted].sum())
+        both = int(size[counted & inside].sum())
+    return (lists + repeated - both) / total, repeated / total, lists / total
 
 
 def _score(s: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(0.0, 0.0, 0.0) if t is None else spam_share(t, s) for t in batch["text"]]
-            out = pd.DataFrame(found, columns=["spam_share", "covered_share", "clause_share"])
+            out = pd.DataFrame(found, columns=["spam_share", "repeated_share", "listed_share"])
             out.insert(0, "item", batch["item"])
             yield out
 
@@ -245,14 +303,15 @@ def _score(s: Settings):
 
 
 def stuffed_pages(docs: DataFrame, item: str, text: str, settings: Settings = Settings()) -> DataFrame:
-    """(item, spam_share, covered_share, clause_share, is_spam) for every row of docs.
+    """(item, spam_share, repeated_share, listed_share, is_spam) for every row of docs.
 
-    A page is spam if more than settings.share of its characters (white space aside) are
+    A page is spam if more than settings.share of its characters (white space and marks aside) are
     repeated keywords, links with their captions, or tags. Programmes (lines with a time of
-    day), credit lists, refrains and lists within honest text don't count. Null and empty texts
-    are no spam. Each page is judged by itself and whole, so nothing is shuffled."""
+    day), casts and credits, refrains and lists within honest text don't count, unless their words
+    are stuffed. Null and empty texts are no spam. Each page is judged by itself and whole, so nothing is
+    shuffled."""
     ship(docs.sparkSession)
     rows = docs.select(quoted(item).alias("item"), quoted(text).alias("text"))
     kind = rows.schema["item"].dataType.simpleString()
-    scored = rows.mapInPandas(_score(settings), f"item {kind}, spam_share double, covered_share double, clause_share double")
+    scored = rows.mapInPandas(_score(settings), f"item {kind}, spam_share double, repeated_share double, listed_share double")
     return scored.withColumn("is_spam", F.col("spam_share") > settings.share)

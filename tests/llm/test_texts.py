@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -212,3 +213,54 @@ def test_suffix_automaton_coverage_is_brute_force():
                     for i in starts:
                         expect[i : i + size] = [True] * size
         assert spam.covered(seq, r) == expect
+
+
+def test_long_captions_and_stuffed_timed_lines():
+    caption = "the story of a baker who leaves the harbour and of the friend that she had to find " * 4
+    page = "\n".join(f"[{caption}{i}](https://a.example/{i})" for i in range(3))
+    assert len(caption) > 200 and spam.spam_share(page)[0] == 1.0
+    stuffed = "\n".join(f"watch free movies online at {h}:15 free movies online watch" for h in range(10, 20))
+    assert spam.spam_share(stuffed)[0] > 0.5
+    titles = "Brittle Tavern|Keen Hotel|Silver Barge|Open Dockyard|Candid Mill|Humble Orchard".split("|")
+    assert spam.spam_share("\n".join(f"Mon {h}:15  The {t}" for h, t in enumerate(titles, 10)))[0] == 0.0
+    began = time.time()
+    spam.spam_share("[" * 100_000)
+    assert time.time() - began < 20
+
+
+def test_tag_clouds_count_without_coverage():
+    share, cover, _ = spam.spam_share("movie (109) sequel (258) hallway (296) railway (216) lantern (211) quilt (274)")
+    assert share == 1.0 and cover == 0.0
+
+
+GERMAN = "Der alte Uhrmacher kehrt nach vielen Jahren in die Stadt am Fluss zurück, doch niemand erkennt ihn mehr. Seine Tochter führt inzwischen das kleine Kino, und beide reden zunächst nur über das Wetter. Erst als der Strom ausfällt, erzählt er ihr, warum er damals ging. "
+FRENCH = "La pianiste quitte le port avant l'aube sans prévenir personne, car elle craint que son frère ne la retienne. Dans le train, un inconnu lui confie une lettre qu'elle ne doit ouvrir qu'à Lyon. Le film prend son temps, mais chaque silence compte et la fin surprend. "
+CZECH = "Starý hodinář se po letech vrací do města u řeky, ale nikdo ho nepoznává. Jeho dcera mezitím vede malé kino a oba zpočátku mluví jen o počasí. Teprve když vypadne proud, vypráví jí, proč tehdy odešel a koho tam nechal. "
+
+
+@pytest.mark.parametrize("text", [GERMAN, FRENCH, CZECH, GERMAN * 3, FRENCH + CZECH + "\n" + FRENCH, GERMAN.lower().replace(",", "").replace(".", "")])
+def test_honest_text_of_any_language(text):
+    assert spam.spam_share(text)[0] < 0.2
+
+
+@pytest.mark.parametrize("words", ["kino karten billig kaufen film gratis", "film gratuit regarder streaming acheter billet", "levné lístky film zdarma sledovat online"])
+def test_stuffing_of_any_language(words):
+    rnd = random.Random(4)
+    assert spam.spam_share(" ".join(rnd.choice(words.split()) for _ in range(120)))[0] > 0.9
+    timed = "\n".join(" ".join(rnd.choice(words.split()) for _ in range(6)) + " 12:05" for _ in range(40))
+    assert spam.spam_share(timed)[0] > 0.8
+
+
+def test_the_automata_decide(monkeypatch):
+    """Nothing is spam where nothing repeats."""
+    pages = ["cheap movie download watch movie cheap hd movie " * 12, "#film #free #watch #online #hd #film #deal " * 5, "Best Noir | Watch Free | Buy Tickets | New Offer | Top Series | Full Download", "\n".join(f"lantern ({k})" for k in range(20, 40))]
+    assert all(spam.spam_share(p)[0] > 0.5 for p in pages)
+    monkeypatch.setattr(spam.SuffixAutomaton, "repeated_suffixes", lambda self, repeats: [0] * len(self.ends))
+    assert all(spam.spam_share(p)[0] == 0 for p in pages)
+
+
+def test_long_pages_take_linear_time():
+    for page in ("a-" * 200_000, "a--" * 150_000, "<a " * 100_000, " " * 300_000 + "x", ("x" + " " * 50) * 5000, "a b " * 100_000, "a." * 150_000, "1" * 300_000):
+        began = time.time()
+        spam.spam_share(page)
+        assert time.time() - began < 20
