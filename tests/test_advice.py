@@ -112,28 +112,3 @@ def test_names_by_join_as_inline(spark):
     vocabulary = spark.createDataFrame([(n,) for n in names], "genre string")
     inline, joined = ([tuple(r) for r in explode_packed(df, "genres", ["id"], vocabulary, inline_names=n).orderBy("id", "pos").collect()] for n in (1000, 0))
     assert joined == inline and ("0", 1, '"Quoted", Name') in inline and ("1", 2, "Odd (Name), End)") in inline
-
-
-def test_long_captions_and_stuffed_timed_lines():
-    import time
-
-    from reelrank.llm.spam import spam_share
-
-    caption = "the story of a baker who leaves the harbour and of the friend that she had to find " * 4
-    page = "\n".join(f"[{caption}{i}](https://a.example/{i})" for i in range(3))
-    assert len(caption) > 200 and spam_share(page)[0] == 1.0
-    stuffed = "\n".join(f"watch free movies online at {h}:15 free movies online watch" for h in range(10, 20))
-    assert spam_share(stuffed)[0] > 0.5
-    titles = "Brittle Tavern|Keen Hotel|Silver Barge|Open Dockyard|Candid Mill|Humble Orchard".split("|")
-    assert spam_share("\n".join(f"Mon {h}:15  The {t}" for h, t in enumerate(titles, 10)))[0] == 0.0
-    began = time.time()
-    spam_share("[" * 100_000)
-    assert time.time() - began < 20
-
-
-def test_tag_clouds_count_without_coverage():
-    """As the README says of problem 10."""
-    from reelrank.llm.spam import spam_share
-
-    share, cover, _ = spam_share("movie (109) sequel (258) hallway (296) railway (216) lantern (211) quilt (274)")
-    assert share == 1.0 and cover == 0.0
