@@ -140,6 +140,42 @@ def test_sainte_lague():
         assert mixing.sainte_lague(weights, seats, limits) == brute_sainte_lague(weights, seats, limits)
 
 
+def test_sainte_lague_with_many_small_weights():
+    weights = {0: 90.0} | {k: 0.6 for k in range(1, 101)}
+    assert mixing.sainte_lague(weights, 150) == brute_sainte_lague(weights, 150, {})
+    assert mixing.sainte_lague(weights, 150)[0] == 75
+    rnd = random.Random(6)
+    for _ in range(60):
+        weights = {k: rnd.choice([1.0, 0.1, rnd.random(), 1000 * rnd.random()]) for k in range(rnd.randrange(1, 150))}
+        seats = rnd.randrange(0, 600)
+        limits = {k: rnd.randrange(0, 9) for k in weights if rnd.random() < 0.3}
+        assert mixing.sainte_lague(weights, seats, limits) == brute_sainte_lague(weights, seats, limits)
+    big = mixing.sainte_lague({"a": 1e13, "b": 3.0, "c": 1e13}, 10**9)
+    assert sum(big.values()) == 10**9 and abs(big["a"] - big["c"]) <= 1
+
+
+def test_split_tokens():
+    rnd = random.Random(7)
+    for _ in range(100):
+        held = {k: rnd.randrange(1, 500) for k in range(rnd.randrange(1, 40))}
+        repeats, block = rnd.randrange(1, 4), rnd.randrange(1, 90)
+        wanted = rnd.randrange(0, sum(held.values()) * repeats + 1)
+        got = mixing.split_tokens(wanted, held, repeats, block)
+        assert sum(got.values()) == wanted and all(0 <= got[k] <= held[k] * repeats for k in held)
+
+
+def test_shards_in_a_tree(spark):
+    """Any number of shards: each node of the tree shares out all its tokens."""
+    sums = spark.createDataFrame([("a", k, 100 + k % 7) for k in range(50)] + [("b", 0, 10)], "source string, shard bigint, t bigint")
+    wanted = spark.createDataFrame([("a", 3333, 2), ("b", 7, 1)], "source string, wanted bigint, max_repeats int")
+    for fan, levels in ((64, 1), (8, 2), (3, 4)):
+        rows = mixing.shard_quotas(sums, wanted, levels, 5, fan).collect()
+        assert len(rows) == 51 and all(0 <= r.wanted <= r.t * r.max_repeats for r in rows)
+        assert sum(r.wanted for r in rows if r.source == "a") == 3333 and sum(r.wanted for r in rows if r.source == "b") == 7
+        own = [r.wanted for r in rows if r.source == "a"]
+        assert max(own) - min(own) <= 30
+
+
 def test_mix(spark):
     rnd = random.Random(4)
     docs = [(k, rnd.choice(["big"] * 8 + ["small", "mid", None, "none"]), rnd.randrange(1, 60)) for k in range(6000)] + [(9001, "big", 0), (9002, "big", None)]
@@ -157,6 +193,8 @@ def test_mix(spark):
         assert by[s].reached_share == pytest.approx(by[s].wanted_share, abs=0.01)
     assert by["missing"].drawn_tokens == 0 and by["none"].target_share is None
     assert sorted(map(tuple, mixing.draw_mix(df.repartition(3), "id", "s", "n", targets, shard_tokens=2000)[0].collect())) == sorted(map(tuple, rows))
+    tree = mixing.draw_mix(df, "id", "s", "n", targets, shard_tokens=500, fan=4)
+    assert all(abs(r.reached_share - r.wanted_share) < 0.01 for r in tree[1].collect() if r.wanted_share and r.available_tokens)
     short, over = mixing.draw_mix(df, "id", "s", "n", targets, total_tokens=10**9)
     assert {r.source: r.drawn_tokens for r in over.collect() if r.source in most} == {s: sum((d[2] or 0) for d in docs if d[1] == s) * m for s, m in most.items()}
     none, report = mixing.draw_mix(df.limit(0), "id", "s", "n", targets)
