@@ -27,7 +27,6 @@ from reelrank.runtime import cut, ship
 
 #: Items of one size are numbered in parts of about so many.
 PART_ROWS = 100_000
-MAX_PARTS = 4096
 #: The largest capacity for which a histogram is kept on the driver.
 LARGEST_CAPACITY = 1 << 20
 
@@ -156,7 +155,7 @@ def pack(sizes: DataFrame, item: str, size: str, capacities: list[int], part_row
     ship(sizes.sparkSession)
     rows = cut(pieces(sizes.where(F.col(size) > 0), item, size, permitted[-1]))
     total = rows.count()
-    parts = max(1, min(MAX_PARTS, -(-total // part_rows)))
+    parts = max(1, -(-total // part_rows))
     part = F.pmod(F.xxhash64("item", "piece"), F.lit(parts))
     rows = rows.withColumn("_part", part)
     by_part = rows.groupBy("size", "_part").agg(F.count("*").alias("n"))

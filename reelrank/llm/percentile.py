@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ACCURACY = 0.01
-#: Values nearer to zero than this count as zero.
-SMALLEST = 1e-9
+#: The ends of what a double holds: buckets reach from one to the other, so that only zero counts as zero.
+SMALLEST, LARGEST = 5e-324, 1.7976931348623157e308
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 
 
@@ -28,18 +28,20 @@ def _shift(accuracy: float) -> int:
 
 
 def bucket_of(value: Column, accuracy: float = ACCURACY) -> Column:
-    """A whole number that rises with the value: 0 for (nearly) zero, positive and negative
-    buckets on either side."""
+    """A whole number that rises with the value: 0 for zero, positive and negative buckets on
+    either side."""
     shift = _shift(accuracy)
     step = F.ceil(F.ln(F.abs(value)) / F.lit(math.log(gamma(accuracy)))) + shift
     step = F.greatest(step, F.lit(1))
-    return F.when(value >= SMALLEST, step).when(value <= -SMALLEST, -step).otherwise(F.lit(0)).cast("int")
+    return F.when(value > 0, step).when(value < 0, -step).otherwise(F.lit(0)).cast("int")
 
 
 def value_of(bucket: Column, accuracy: float = ACCURACY) -> Column:
-    """The middle of a bucket: within `accuracy` of each of its values."""
+    """The middle of a bucket: within `accuracy` of each of its values (of those below 2.3e-308
+    within a step of a double)."""
     g, shift = gamma(accuracy), _shift(accuracy)
     size = F.exp((F.abs(bucket) - shift).cast("double") * F.lit(math.log(g))) * F.lit(2 / (g + 1))
+    size = F.least(size, F.lit(LARGEST))
     return F.when(bucket > 0, size).when(bucket < 0, -size).otherwise(F.lit(0.0))
 
 
@@ -58,8 +60,8 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 def percentiles(sketches: DataFrame, keys: list[str], at: tuple[float, ...] = PERCENTILES, accuracy: float = ACCURACY) -> DataFrame:
     """(*keys, n_values, p50, ...): for each key the value at rank ceil(p * n), to within
-    the relative accuracy. A key's buckets are bounded (a few thousand over the whole range
-    of doubles), whatever the number of values."""
+    the relative accuracy. A key's buckets are bounded (some 140,000 over the whole range of
+    doubles at 1 %, in practice a few hundred), whatever the number of values."""
     names = ["p" + f"{round(p * 100, 4):g}".replace(".", "_") for p in at]
     w = W.partitionBy(*keys).orderBy("bucket") if keys else W.partitionBy(F.lit(0)).orderBy("bucket")
     total = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))

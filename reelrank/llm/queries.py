@@ -15,6 +15,8 @@ from reelrank.runtime import clean_key, cut, table
 MIN_TOGETHER, MIN_LIFT = 5, 3
 RARE_BELOW, COMMON_ABOVE = 3, 0.1
 BEST = 10
+#: Container sizes that one run packs for, at most.
+MAX_LIMITS = 1000
 
 
 def movie_tags(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,19 +126,26 @@ def sized_documents(spark: SparkSession, folder: str) -> DataFrame:
     return cut(docs.select("doc_id", "source", tokens.tokens_udf()("text").alias("n_tokens")))
 
 
+def pack_limits(spark: SparkSession, folder: str) -> list:
+    """(limit_name, capacity_tokens) of every container; more than MAX_LIMITS raise an error."""
+    rows = table(spark, folder, "pack_limits").select("limit_name", "capacity_tokens").where("capacity_tokens is not null").distinct().limit(MAX_LIMITS + 1).collect()
+    if len(rows) > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} container sizes")
+    return sorted(rows, key=lambda r: (r.capacity_tokens, r.limit_name or ""))
+
+
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Containers of all permitted capacities, chosen jointly."""
-    limits = [r[0] for r in table(spark, folder, "pack_limits").select("capacity_tokens").distinct().limit(1000).collect()]
+    limits = [r.capacity_tokens for r in pack_limits(spark, folder)]
     found = packing.pack(sized_documents(spark, folder), "doc_id", "n_tokens", limits)
     return found.select(F.col("item").alias("doc_id"), "piece", F.col("offset").alias("first_token"), F.col("size").alias("n_tokens"), "bin_id", "capacity", "unused")
 
 
 def p8_pack_each(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in containers of each single capacity."""
-    limits = table(spark, folder, "pack_limits").select("limit_name", "capacity_tokens").distinct().limit(1000).collect()
     sized = sized_documents(spark, folder)
     out = None
-    for r in sorted(limits, key=lambda r: (r.capacity_tokens, r.limit_name)):
+    for r in pack_limits(spark, folder):
         found = packing.pack(sized, "doc_id", "n_tokens", [r.capacity_tokens]).select(F.lit(r.limit_name).alias("limit_name"), F.col("item").alias("doc_id"), "piece", F.col("offset").alias("first_token"), F.col("size").alias("n_tokens"), "bin_id", "capacity", "unused")
         out = found if out is None else out.unionByName(found)
     return out
@@ -176,7 +185,7 @@ def _key(column: str) -> str:
 
 def _bucket(value: str) -> str:
     shift, step = percentile._shift(percentile.ACCURACY), repr(math.log(percentile.gamma(percentile.ACCURACY)))
-    return f"case when {value} >= 1e-9 then greatest(ceil(ln({value}) / {step})::int + {shift}, 1) else 0 end"
+    return f"case when {value} > 0 then greatest(ceil(ln({value}) / {step})::int + {shift}, 1) else 0 end"
 
 
 def _percentiles(counts: str, keys: str) -> str:

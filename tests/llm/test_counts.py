@@ -133,3 +133,15 @@ def test_percentiles_within_accuracy_and_mergeable(spark):
     direct = percentile.sketch(df, ["k"], "v")
     assert sorted(map(tuple, direct.collect()), key=str) == sorted(map(tuple, percentile.merge(sk, ["k"]).select("k", "bucket", "n").collect()), key=str)
     assert percentile.percentiles(percentile.sketch(df.limit(0), ["k"], "v"), ["k"]).count() == 0
+
+
+def test_percentiles_of_tiny_and_huge_values(spark):
+    values = [0.0, 5e-320, 3e-300, 7e-120, 2e-15, 4.4e-10, 1.0, 9e200, 1.7e308]
+    rows = [(str(i), s * v) for i, v in enumerate(values) for s in (1, -1)]
+    df = spark.createDataFrame([(f"{k}{v >= 0}", v) for k, v in rows], "k string, v double")
+    got = percentile.percentiles(percentile.sketch(df, ["k"], "v"), ["k"]).collect()
+    for r in got:
+        exact = values[int(r.k[0])] * (1 if r.k.endswith("True") else -1)
+        assert abs(r.p50 - exact) <= 0.01000001 * abs(exact) + 5e-324, (r.k, r.p50, exact)
+    order = df.select("v", percentile.bucket_of(F.col("v")).alias("b")).collect()
+    assert [r.v for r in sorted(order, key=lambda r: (r.b, r.v))] == sorted(r.v for r in order)
