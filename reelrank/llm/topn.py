@@ -12,11 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelrank.runtime import cut
+from reelrank.runtime import BROADCAST_ROWS, cut
 
 SALTS = 16
-#: A group with at most so many items is ranked as it is.
-SMALL_GROUP = 256
 #: Buckets are the leading bits of the score's order-preserving code: sign, exponent and
 #: the first bits of the fraction.
 FRACTION_BITS = 6
@@ -41,26 +39,37 @@ def best_scores(rows: DataFrame, group: str, item: str, score: str) -> DataFrame
     return valid.groupBy(F.col(group).alias("grp"), F.col(item).cast("string").alias("item")).agg(F.max(F.col(score).cast("double")).alias("score"))
 
 
-def top_n(rows: DataFrame, group: str, item: str, score: str, n: int = 10) -> DataFrame:
+def score_floors(scored: DataFrame, n: int) -> DataFrame:
+    """(grp, floor, size) of every group with more than n items: the highest bucket that, with those
+    above it, holds at least n of them."""
+    histogram = scored.groupBy("grp", "bucket").agg(F.count("*").alias("here"))
+    down = W.partitionBy("grp").orderBy(F.desc("bucket"))  # a group's buckets are bounded
+    sized = histogram.withColumn("reach", F.sum("here").over(down)).withColumn("size", F.sum("here").over(W.partitionBy("grp")))
+    return sized.where((F.col("size") > n) & (F.col("reach") - F.col("here") < n)).groupBy("grp").agg(F.min("bucket").alias("floor"), F.max("size").alias("size"))
+
+
+def top_n(rows: DataFrame, group: str, item: str, score: str, n: int = 10, floors_sent: int = BROADCAST_ROWS) -> DataFrame:
     """(grp, rank_no, item, score): each group's n best distinct items by score descending,
     then item ascending as a string; rank_no from 1.
 
     An item that repeats counts once with its highest score. Null, NaN and infinite scores
     and null groups and items don't count; -0.0 equals 0.0. Groups with fewer than n items
-    keep them all; an empty table gives no rows; other columns don't matter."""
+    keep them all; an empty table gives no rows; other columns don't matter.
+
+    Every map task drops what lies below the floors before anything is shuffled. Floors are sent to the
+    tasks: those of all groups or, of more than `floors_sent`, those of the largest ones. Any
+    other group holds less than one in `floors_sent` of all rows; it is ranked as it is, and every map task
+    passes on n of its rows."""
     if n < 1:
         raise ValueError("n must be 1 or more")
     scored = best_scores(rows, group, item, score)
     scored = cut(scored.withColumn("score", F.col("score") + F.lit(0.0)).withColumn("bucket", score_bucket(F.col("score"))))
-    histogram = scored.groupBy("grp", "bucket").agg(F.count("*").alias("here"))
-    down = W.partitionBy("grp").orderBy(F.desc("bucket"))  # a group's buckets are bounded
-    above = F.sum("here").over(down)
-    sized = histogram.withColumn("reach", above).withColumn("size", F.sum("here").over(W.partitionBy("grp")))
-    floor = sized.where(F.col("size") > SMALL_GROUP).where(F.col("reach") - F.col("here") < n).groupBy("grp").agg(F.min("bucket").alias("floor"))
-    # the floors, small, are repeated for each salt; the items of a group spread over salts
-    salted = floor.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = scored.withColumn("salt", F.pmod(F.hash("item"), F.lit(SALTS)))
-    survivors = spread.join(salted, ["grp", "salt"], "left").where(F.col("floor").isNull() | (F.col("bucket") >= F.col("floor")))
+    floors = cut(score_floors(scored, n))
+    if floors.count() > floors_sent:
+        floors = floors.orderBy(F.desc("size"), "grp").limit(floors_sent)
+    # at most floors_sent narrow rows
+    kept = scored.join(F.broadcast(floors.select("grp", "floor")), "grp", "left").where(F.col("floor").isNull() | (F.col("bucket") >= F.col("floor")))
+    survivors = kept.withColumn("salt", F.when(F.col("floor").isNull(), 0).otherwise(F.pmod(F.hash("item"), F.lit(SALTS))))
     best = [F.desc("score"), F.asc("item")]
     part = survivors.withColumn("_r", F.row_number().over(W.partitionBy("grp", "salt").orderBy(*best))).where(F.col("_r") <= n)
     ranked = part.withColumn("rank_no", F.row_number().over(W.partitionBy("grp").orderBy(*best))).where(F.col("rank_no") <= n)

@@ -90,21 +90,30 @@ def brute_top(rows, n):
     return {(g, k): (i, s) for g, d in best.items() for k, (i, s) in enumerate(sorted(d.items(), key=lambda x: (-x[1], x[0]))[:n], 1)}
 
 
+@pytest.mark.parametrize("sent", [0, 3, topn.BROADCAST_ROWS])
 @pytest.mark.parametrize("n", [1, 10])
-def test_top_n(spark, n, monkeypatch):
-    monkeypatch.setattr(topn, "SMALL_GROUP", 5)
+def test_top_n(spark, n, sent):
     rnd = random.Random(n)
     rows = [("hot", f"d{rnd.randrange(3000)}", rnd.choice([0.5, 0.25, rnd.random(), -rnd.random(), 0.0, -0.0, 1e300, 1e-300])) for _ in range(5000)]
     rows += [("same", f"d{k}", 0.5) for k in range(2000)]
     rows += [(f"g{rnd.randrange(30)}", f"d{rnd.randrange(20)}", rnd.choice([None, math.nan, math.inf, -math.inf, rnd.gauss(0, 3)])) for _ in range(900)] + [(None, "d", 1.0), ("g1", None, 1.0)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "q string, d string, s double, bucket string, floor int")
-    got = {(r.grp, r.rank_no): (r["item"], r.score) for r in topn.top_n(df, "q", "d", "s", n).collect()}
+    got = {(r.grp, r.rank_no): (r["item"], r.score) for r in topn.top_n(df, "q", "d", "s", n, sent).collect()}
     assert got == brute_top(rows, n)
     assert topn.top_n(df.limit(0), "q", "d", "s", n).count() == 0
     with pytest.raises(ValueError):
         topn.top_n(df, "q", "d", "s", 0)
 
 
+def test_every_larger_group_has_a_floor(spark):
+    rows = [("big", f"d{k}", float(k)) for k in range(100)] + [("small", f"d{k}", float(k)) for k in range(11)] + [("few", f"d{k}", float(k)) for k in range(10)]
+    scored = topn.best_scores(spark.createDataFrame(rows, "q string, d string, s double"), "q", "d", "s").withColumn("bucket", topn.score_bucket(F.col("score")))
+    floors = {r.grp: r.floor for r in topn.score_floors(scored, 10).collect()}
+    assert set(floors) == {"big", "small"}
+    kept = scored.where("grp = 'big'").where(F.col("bucket") >= floors["big"]).count()
+    assert 10 <= kept <= 12
+
+
 def test_score_bucket_never_falls(spark):
     rnd = random.Random(5)
     xs = sorted([rnd.gauss(0, 10) for _ in range(500)] + [2.0**k for k in range(-70, 70)] + [-(2.0**k) for k in range(-70, 70)] + [0.0] + [math.nextafter(2.0**k, 0) for k in range(-20, 20)] + [1.7e308, -1.7e308])
