@@ -4,14 +4,17 @@ partitioning.
 Records get canonical bytes: their key columns as they are and the text's form (case,
 white space, punctuation and word order gone). Equal (record, spelling) rows are first
 combined inside each map task, so a record that makes up a third of all rows is a handful
-of rows afterwards. Then buckets of canonical bytes are split, byte by byte, for as long as
-one holds more than its share; neighbouring small ones are joined; and each bucket counts
-its records in a trie of its own, whose terminals hold the copies of each spelling."""
+of rows afterwards. Then buckets of canonical bytes are split by the next byte in which their
+records differ, for as long as one holds more than its share; neighbouring small ones are joined;
+and each bucket counts its records in tries of its own, whose terminals hold the copies of each
+spelling. A task gets its bucket in the order of its bytes and begins a new trie whenever one is
+full, so a bucket of any size fits."""
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,9 +25,11 @@ from pyspark.sql import types as T
 from reelrank.llm.forms import form
 from reelrank.runtime import cut, ship
 
-#: Combined rows that a bucket is meant to hold, and the most buckets there are.
-BUCKET_ROWS = 200_000
-MAX_BUCKETS = 4096
+#: Combined rows that a trie is meant to hold, and so a bucket as long as there are no more
+#: than MAX_BUCKETS: their bounds are held by the driver and every task. Beyond that a bucket goes
+#: through several tries, one after the other.
+BUCKET_ROWS = 20_000
+MAX_BUCKETS = 65_536
 #: Distinct rows that a map task combines before it passes them on.
 COMBINE_ROWS = 200_000
 #: Records in a leaf of the trie before it is split by their next byte.
@@ -126,27 +131,47 @@ def _combine(n_keys: int):
     return run
 
 
-def radix_bounds(canon: DataFrame, total: int, bucket_rows: int = BUCKET_ROWS, max_buckets: int = MAX_BUCKETS) -> list[bytes]:
+def _common(a: bytes, b: bytes) -> bytes:
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[:n]
+
+
+def _child(open_: list[bytes]):
+    """bytes -> those of the open bucket and one more; null outside all open buckets."""
+
+    @F.pandas_udf(T.BinaryType())
+    def child(s: pd.Series) -> pd.Series:
+        out = []
+        for v in s:
+            v = bytes(v)
+            k = bisect_right(open_, v) - 1
+            out.append(v[: len(open_[k]) + 1] if k >= 0 and v.startswith(open_[k]) else None)
+        return pd.Series(out, dtype=object)
+
+    return child
+
+
+def radix_bounds(canon: DataFrame, bucket_rows: int = BUCKET_ROWS, max_buckets: int = MAX_BUCKETS) -> list[bytes]:
     """Lower bounds of the buckets after the first, ascending: byte prefixes.
 
-    Only buckets with more than their share are split, at most 2 * max_buckets of them per
-    byte, into at most 257 each; the driver holds these counts and never a record. A bucket
-    of rows that are all equal can't be split and stays whole."""
-    share = max(bucket_rows, -(-total // max_buckets))
+    A level is one aggregate: each open bucket's rows by their next byte, with the least and
+    greatest of each, whose common bytes the next level skips. Only buckets with more than their
+    share are split, fewer than 2 * max_buckets of them a level, into at most 257 each; the driver
+    holds these counts and never a record. A bucket of rows that are all equal can't be split."""
+    extent = [F.count("*").alias("n"), F.min("canon").alias("lo"), F.max("canon").alias("hi")]
+    root = canon.agg(*extent).first()
+    share = max(bucket_rows, -(-root.n // max_buckets))
     leaves: dict[bytes, int] = {}
-    open_: list[bytes] = [b""] if total > share else []
-    depth = 0
+    open_ = [_common(bytes(root.lo), bytes(root.hi))] if root.n > share and root.lo != root.hi else []
     while open_:
-        depth += 1
-        wide = canon.where(F.substring("canon", 1, depth - 1).isin([bytearray(p) for p in open_])) if depth > 1 else canon
-        counts = wide.groupBy(F.substring("canon", 1, depth).alias("prefix")).agg(F.count("*").alias("n"), F.min(F.xxhash64("canon")).alias("lo"), F.max(F.xxhash64("canon")).alias("hi")).select("prefix", "n", (F.col("lo") == F.col("hi")).alias("one")).collect()
+        counts = canon.select("canon", _child(open_)("canon").alias("prefix")).where("prefix is not null").groupBy("prefix").agg(*extent).collect()
         open_ = []
         for r in counts:
-            prefix = bytes(r.prefix)
-            if r.n > share and len(prefix) == depth and not r.one:
-                open_.append(prefix)
+            if r.n > share and r.lo != r.hi:
+                open_.append(_common(bytes(r.lo), bytes(r.hi)))
             else:
-                leaves[prefix] = leaves.get(prefix, 0) + r.n
+                leaves[bytes(r.prefix)] = r.n
+        open_.sort()
     bounds, filled = [], 0
     for prefix, n in sorted(leaves.items()):
         if filled and filled + n > share:
@@ -164,25 +189,34 @@ def _route(bounds: list[bytes]):
     return bucket
 
 
-def _count(n_keys: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie()
-        for batch in batches:
-            for canon, spelling, copies in zip(batch["canon"], batch["spelling"], batch["copies"]):
-                trie.add(bytes(canon), spelling, int(copies))
-        columns = [*(f"key_{i}" for i in range(n_keys)), "form", "spelling", "pos", "copies", "n_spellings", "n_copies"]
-        rows: list[tuple] = []
+def _count(n_keys: int, trie_rows: int):
+    """Rows in the order of their bytes."""
+    columns = [*(f"key_{i}" for i in range(n_keys)), "form", "spelling", "pos", "copies", "n_spellings", "n_copies"]
+
+    def records(trie: Trie) -> Iterator[tuple]:
         for canon, terminal in trie.terminals():
             *keys, text_form = canon.decode("utf-8").split("\x00")
             keys = [k.replace("\x01\x01", "\x00").replace("\x01\x02", "\x01") for k in keys]
             total = sum(terminal.values())
             for pos, (spelling, copies) in enumerate(sorted(terminal.items())):
-                rows.append((*keys, text_form, spelling, pos, copies, len(terminal), total))
-                if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=columns)
+                yield (*keys, text_form, spelling, pos, copies, len(terminal), total)
+
+    def tries(batches: Iterator[pd.DataFrame]) -> Iterator[Trie]:
+        trie, held, last = Trie(), 0, None
+        for batch in batches:
+            for canon, spelling, copies in zip(batch["canon"], batch["spelling"], batch["copies"]):
+                canon = bytes(canon)
+                if held >= trie_rows and canon != last:
+                    yield trie
+                    trie, held = Trie(), 0
+                trie.add(canon, spelling, int(copies))
+                held, last = held + 1, canon
+        yield trie
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for trie in tries(batches) for r in records(trie))
+        while block := list(islice(rows, 20_000)):
+            yield pd.DataFrame(block, columns=columns)
 
     return run
 
@@ -199,10 +233,10 @@ def collapse_copies(rows: DataFrame, keys: list[str], text: str, bucket_rows: in
     valid = rows.select(*[F.col(k).cast("string").alias(f"key_{i}") for i, k in enumerate(keys)], F.col(text).cast("string").alias("text"))
     valid = valid.where(" and ".join(f"{c} is not null" for c in valid.columns))
     canon = cut(valid.mapInPandas(_combine(len(keys)), "canon binary, spelling string, copies bigint"))
-    bounds = radix_bounds(canon, canon.count(), bucket_rows, max_buckets)
-    placed = canon.repartitionById(len(bounds) + 1, _route(bounds)("canon"))
+    bounds = radix_bounds(canon, bucket_rows, max_buckets)
+    placed = canon.repartitionById(len(bounds) + 1, _route(bounds)("canon")).sortWithinPartitions("canon")
     schema = ", ".join([*(f"key_{i} string" for i in range(len(keys))), "form string", "spelling string", "pos int", "copies bigint", "n_spellings int", "n_copies bigint"])
-    return placed.mapInPandas(_count(len(keys)), schema)
+    return placed.mapInPandas(_count(len(keys), bucket_rows), schema)
 
 
 def spelling_pairs(copies: DataFrame, keys: list[str]) -> DataFrame:

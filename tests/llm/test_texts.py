@@ -48,12 +48,25 @@ def test_spelling_pairs(spark, monkeypatch):
 def test_radix_bounds_split_only_what_is_too_large(spark):
     canon = [b"77\x00" + bytes([97 + k % 5, 97 + k // 5 % 5]) for k in range(100)] + [b"9"] * 50
     df = spark.createDataFrame([(bytearray(c),) for c in canon], "canon binary")
-    bounds = collapse.radix_bounds(df, len(canon), bucket_rows=10, max_buckets=100)
+    bounds = collapse.radix_bounds(df, bucket_rows=10, max_buckets=100)
     assert bounds == sorted(bounds)
     sizes = Counter(sum(b <= c for b in bounds) for c in canon)
     assert all(n <= 10 for k, n in sizes.items() if n != 50) and sum(sizes.values()) == 150
 
 
+def test_radix_bounds_skip_common_bytes(spark, monkeypatch):
+    """Levels are as many as bytes differ, not as are long."""
+    canon = [b"x" * 79 + bytes([97 + k % 26]) + b"y" * 50 + bytes([97 + k // 26]) for k in range(520)]
+    df = cut(spark.createDataFrame([(bytearray(c),) for c in canon], "canon binary"))
+    levels, child = [], collapse._child
+    monkeypatch.setattr(collapse, "_child", lambda open_: levels.append(len(open_)) or child(open_))
+    bounds = collapse.radix_bounds(df, bucket_rows=5, max_buckets=1000)
+    assert levels == [1, 26]
+    assert max(Counter(sum(b <= c for b in bounds) for c in canon).values()) <= 5
+    levels.clear()
+    assert collapse.radix_bounds(df.limit(0)) == [] and collapse.radix_bounds(df.where(F.col("canon") == F.lit(canon[0])), 0) == [] and not levels
+
+
 def test_trie_is_a_counter():
     rnd = random.Random(1)
     trie, expect = collapse.Trie(), defaultdict(Counter)
