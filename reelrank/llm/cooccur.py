@@ -8,7 +8,8 @@ in slices by neighbour, so that the stripe of an item that is everywhere is spre
 Baskets of unlimited size: a pair needs `min_count` baskets, so the min_count - 1 largest
 baskets alone can never make a pair. These emit no stripes at all. Pairs that the other
 baskets nominate get their counts in the large ones by intersecting the two items' lists
-of large baskets (at most min_count - 1 entries). Every count stays exact."""
+of large baskets (at most min_count - 1 entries). Any other basket of more than BLOCK_ITEMS items is
+cut into blocks, and every two blocks go to a task of their own. Every count stays exact."""
 
 from __future__ import annotations
 
@@ -24,6 +25,8 @@ from reelrank.runtime import cut, ship
 
 #: Baskets of at most so many items always give stripes.
 LARGE_BASKET = 64
+#: Items of a basket that one row may hold; larger baskets are cut into blocks of about so many.
+BLOCK_ITEMS = 2048
 #: Pairs that a map task merges in memory before it passes its stripes on.
 FLUSH_PAIRS = 2_000_000
 #: Slices of a stripe in the shuffle.
@@ -65,15 +68,20 @@ def _stripes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: list[np.ndarray] = []
     held = 0
     for batch in batches:
-        for items in batch["items"]:
-            items = sorted(items)
-            k = np.fromiter((ids.setdefault(x, len(ids)) for x in items), dtype=np.int64, count=len(items))
+        for items, right in zip(batch["items"], batch["right"]):
+            # sorted, so that places compare as names do; a pair of blocks gives the pairs between them
+            side = dict.fromkeys(items, 0) | ({} if right is None else dict.fromkeys(right, 1))
+            names = sorted(side)
+            sides = np.fromiter((side[x] for x in names), dtype=np.int8, count=len(names))
+            k = np.fromiter((ids.setdefault(x, len(ids)) for x in names), dtype=np.int64, count=len(names))
             for i0 in range(0, len(k), 512):  # a basket's pairs in blocks of bounded size
                 for j0 in range(i0, len(k), 4096):
                     i = np.arange(i0, min(i0 + 512, len(k)))
                     j = np.arange(j0, min(j0 + 4096, len(k)))
                     a, b = np.meshgrid(i, j, indexing="ij")
                     keep = a < b
+                    if right is not None:
+                        keep &= sides[a] != sides[b]
                     if not keep.any():
                         continue
                     codes.append((k[a[keep]] << 32) | k[b[keep]])
@@ -109,9 +117,25 @@ def log_likelihood(c: Column, a: Column, b: Column, n: int) -> Column:
     return F.greatest(F.lit(0.0), 2 * (cells - margins + _xlogx(total)))
 
 
-def cooccurrence(rows: DataFrame, basket: str, item: str, min_count: int = 5, large: int = LARGE_BASKET) -> DataFrame:
+def basket_rows(frequent: DataFrame, block_items: int) -> DataFrame:
+    """(items, right): a row for each basket of several items, or, of more than block_items, one
+    for every two of its blocks; right is null where the pairs are those within items."""
+    wide = cut(frequent.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > block_items))
+    plain = frequent if wide.isEmpty() else frequent.join(wide.select("basket"), "basket", "left_anti")
+    whole = plain.groupBy("basket").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1).select("items", F.lit(None).cast("array<string>").alias("right"))
+    if wide.isEmpty():
+        return whole
+    blocks = F.expr(f"cast(ceil(n / {block_items}) as int)")
+    cells = frequent.join(wide, "basket").withColumn("blocks", blocks).withColumn("b", F.expr("cast(pmod(xxhash64(item), blocks) as int)"))
+    cells = cells.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).select("basket", "item", "b", F.least("b", "k").alias("lo"), F.greatest("b", "k").alias("hi"))
+    two = cells.groupBy("basket", "lo", "hi").agg(F.collect_list(F.when(F.col("b") == F.col("lo"), F.col("item"))).alias("items"), F.collect_list(F.when((F.col("b") == F.col("hi")) & (F.col("lo") < F.col("hi")), F.col("item"))).alias("right"))
+    return whole.unionByName(two.select("items", F.when(F.col("lo") < F.col("hi"), F.col("right")).alias("right")))
+
+
+def cooccurrence(rows: DataFrame, basket: str, item: str, min_count: int = 5, large: int = LARGE_BASKET, block_items: int = BLOCK_ITEMS, min_ratio: float = 0.0) -> DataFrame:
     """(item_a, item_b, n_a, n_b, n_ab, n, lift, llr) with item_a < item_b by code point:
-    every pair that stands in at least `min_count` baskets. n counts the baskets with an
+    every pair that stands in at least `min_count` baskets and has a log-likelihood ratio of at least
+    `min_ratio` (10.83: significant at one in a thousand). n counts the baskets with an
     item, lift is n_ab * n / (n_a * n_b), llr Dunning's ratio.
 
     An item counts once per basket; rows with a null basket or item don't count; an empty
@@ -126,8 +150,8 @@ def cooccurrence(rows: DataFrame, basket: str, item: str, min_count: int = 5, la
     # at most min_count - 1 baskets, as many rows on the driver
     largest = [r.basket for r in frequent.groupBy("basket").count().where(F.col("count") > large).orderBy(F.desc("count"), "basket").limit(min_count - 1).collect()] if min_count > 1 else []
     is_large = F.col("basket").isin(largest) if largest else F.lit(False)
-    baskets = frequent.where(~is_large).groupBy("basket").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1)
-    stripes = baskets.select("items").mapInPandas(_stripes, "item_a string, part int, near array<string>, counts array<bigint>")
+    baskets = basket_rows(frequent.where(~is_large), block_items)
+    stripes = baskets.mapInPandas(_stripes, "item_a string, part int, near array<string>, counts array<bigint>")
     merged = stripes.repartition("item_a", "part").select("item_a", "part", F.explode(F.arrays_zip("near", "counts")).alias("x")).groupBy("item_a", "part", F.col("x.near").alias("item_b")).agg(F.sum("x.counts").alias("n_light"))
     need = min_count - len(largest)
     merged = merged.where(F.col("n_light") >= need).drop("part")
@@ -143,4 +167,5 @@ def cooccurrence(rows: DataFrame, basket: str, item: str, min_count: int = 5, la
     for side in "ab":
         merged = merged.join(support.select(F.col("item").alias(f"item_{side}"), F.col("support").alias(f"n_{side}")), f"item_{side}")
     lift = F.col("n_ab").cast("double") * n / (F.col("n_a").cast("double") * F.col("n_b"))
-    return merged.select("item_a", "item_b", "n_a", "n_b", "n_ab", F.lit(n).cast("bigint").alias("n"), lift.alias("lift"), log_likelihood(F.col("n_ab"), F.col("n_a"), F.col("n_b"), n).alias("llr"))
+    out = merged.select("item_a", "item_b", "n_a", "n_b", "n_ab", F.lit(n).cast("bigint").alias("n"), lift.alias("lift"), log_likelihood(F.col("n_ab"), F.col("n_a"), F.col("n_b"), n).alias("llr"))
+    return out.where(F.col("llr") >= min_ratio) if min_ratio > 0 else out

@@ -15,6 +15,8 @@ from reelrank.runtime import clean_key, cut, table
 MIN_TOGETHER, MIN_LIFT = 5, 3
 RARE_BELOW, COMMON_ABOVE = 3, 0.1
 BEST = 10
+#: The chi-square bound of one in a thousand with one degree of freedom.
+SIGNIFICANT = 10.83
 #: Container sizes that one run packs for, at most.
 MAX_LIMITS = 1000
 
@@ -30,6 +32,11 @@ def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return cooccur.cooccurrence(movie_tags(spark, folder), "movie_id", "form", MIN_TOGETHER)
 
 
+def p3_significant(spark: SparkSession, folder: str) -> DataFrame:
+    """Of these the pairs whose ratio chance gives once in a thousand, above chance."""
+    return cooccur.cooccurrence(movie_tags(spark, folder), "movie_id", "form", MIN_TOGETHER, min_ratio=SIGNIFICANT).where("lift > 1")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = p3_pairs(spark, folder)
     return pairs.where(F.col("n_ab") * F.col("n") >= MIN_LIFT * F.col("n_a") * F.col("n_b")).select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
@@ -172,7 +179,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_pages(spark, folder).where("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_terms, p5_found, p6_ratings, p6_ratings_all, p6_latency, p6_latency_months, p7_found, p7_copies, p8_pack, p8_pack_each, p9_mix, p9_shares, p10_found, p10_pages)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p3_significant, p4_found, p4_terms, p5_found, p6_ratings, p6_ratings_all, p6_latency, p6_latency_months, p7_found, p7_copies, p8_pack, p8_pack_each, p9_mix, p9_shares, p10_found, p10_pages)}
 
 # --- the same in SQL, where SQL can express it (no NFKC there, so nothing on tag forms)
 

@@ -43,6 +43,19 @@ def test_cooccurrence(spark, large, min_count):
     assert got == brute_pairs(rows, min_count)
 
 
+@pytest.mark.parametrize("block", [2, 5])
+def test_cooccurrence_in_blocks(spark, block):
+    """Large baskets beyond the largest ones, in blocks: the same counts."""
+    rnd = random.Random(block)
+    rows = [(f"b{rnd.randrange(9)}", f"i{rnd.randrange(40)}") for _ in range(300)] + [(f"s{k}", f"i{k % 5}") for k in range(20)]
+    df = spark.createDataFrame(rows, "b string, i string")
+    got = {(r.item_a, r.item_b): (r.n_a, r.n_b, r.n_ab, r.n) for r in cooccur.cooccurrence(df, "b", "i", 2, 1, block).collect()}
+    assert got == brute_pairs(rows, 2)
+    some = {(r.item_a, r.item_b) for r in cooccur.cooccurrence(df, "b", "i", 2, 1, block, min_ratio=1.0).collect()}
+    every = {(r.item_a, r.item_b) for r in cooccur.cooccurrence(df, "b", "i", 2, 1).collect() if r.llr >= 1.0}
+    assert some == every and 0 < len(some) < len(got)
+
+
 def test_cooccurrence_scores_and_empty(spark):
     rows = [(f"b{k}", x) for k in range(6) for x in ("p", "q")] + [(f"c{k}", "z") for k in range(18)]
     r = cooccur.cooccurrence(spark.createDataFrame(rows, "b string, i string"), "b", "i").collect()[0]
@@ -59,7 +72,7 @@ def test_stripes_flush(spark, monkeypatch):
     monkeypatch.setattr(cooccur, "FLUSH_PAIRS", 20)
     import pandas as pd
 
-    batches = [pd.DataFrame({"items": [[f"x{j}" for j in range(k % 9)] for k in range(30)]}) for _ in range(2)]
+    batches = [pd.DataFrame({"items": [[f"x{j}" for j in range(k % 9)] for k in range(30)], "right": [None] * 30}) for _ in range(2)]
     got = Counter()
     for out in cooccur._stripes(iter(batches)):
         for a, near, counts in zip(out["item_a"], out["near"], out["counts"]):
