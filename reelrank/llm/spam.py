@@ -46,12 +46,15 @@ class Settings:
 #: A link with its caption, a tag, a time of day, a number (also a code or price), a run of words, a
 #: mark. A caption may have any length; beyond 200 characters it holds no opening bracket, so that a
 #: page full of these is still read in linear time.
+_WORD = r"[\p{L}\p{M}](?:[\p{L}\p{M}\p{N}]|[-'’](?=\p{L}))*+"
+_NO_HOST = r"(?!(?:[.-]\w|://))"
 PIECE = regex.compile(
-    r"(?P<link>\[(?:[^\]\n]{0,200}|[^\[\]\n]*)\]\([^)\s]*\)|<a\b[^<>\n]*>[^<\n]*</a>|(?:https?://|www\.)\S+|\b[\w-]{1,63}(?:\.[\w-]{1,63}){1,10}/\S*)"
+    rf"(?P<words>{_WORD}{_NO_HOST}(?:[ \t]+{_WORD}{_NO_HOST})*)"
+    r"|(?P<link>\[(?:[^\]\n]{0,200}|[^\[\]\n]*)\]\([^)\s]*\)|<a\b[^<>\n]*>[^<\n]*</a>|(?:https?://|www\.)\S+|\b[\w-]{1,63}(?:\.[\w-]{1,63}){1,10}/\S*)"
     r"|(?P<tag>[#@][\p{L}\p{M}\p{N}_]+)"
     r"|(?P<clock>(?<![\p{Sc}\d.,:])\d{1,2}[:h]\d{2}(?![:\p{N}]))"
     r"|(?P<number>(?:\p{Sc}\s?)?\p{N}[\p{N}\p{L}]*(?:[.,:/-]\p{N}+)*|\p{L}+-\p{N}+)"
-    r"|(?P<words>[\p{L}\p{M}](?:[\p{L}\p{M}\p{N}]|[-'’](?=\p{L}))*(?:[ \t]+(?!https?://|www\.)[\p{L}\p{M}](?:[\p{L}\p{M}\p{N}]|[-'’](?=\p{L}))*+(?![./-]\w))*)"
+    rf"|(?P<word>{_WORD})"
     r"|(?P<mark>[^\s\p{L}\p{M}\p{N}]+)"
 )
 #: Marks or wide gaps that stand between a name and its part in a line.
@@ -174,11 +177,11 @@ def period(words: list[str]) -> int:
 def stuffed(words: list[str], s: Settings) -> np.ndarray:
     """Which words a repeated maximal substring covers where no clause is."""
     last: dict[str, int] = {}
-    before = np.empty(len(words), dtype=np.int64)
+    before = []
     for i, w in enumerate(words):
-        before[i] = last.get(w, -1)
+        before.append(last.get(w, -1))
         last[w] = i
-    bare = variety(before, s.window) <= s.variety if words else np.zeros(0, dtype=bool)
+    bare = variety(np.array(before), s.window) <= s.variety if words else np.zeros(0, dtype=bool)
     if not bare.any():  # clauses everywhere: nothing that repeats would count
         return bare
     held = repeats_at(words, s.repeats)
@@ -224,36 +227,32 @@ def listed(shape: list, s: Settings) -> np.ndarray:
 
 def pieces(text: str, s: Settings) -> tuple[list, list[int], list]:
     """(shape, sizes, words): the page's symbols, their characters (white space and marks aside) and the
-    words of each. Clauses are None, and so is all in lines with a time of day (programmes) and in
-    lines of words with a leader (casts, credits). Lines with a time of day and at least a figure
-    to two words, timetables, have no words."""
+    words of each, as one string. Clauses are None, and so is all in lines with a time of day
+    (programmes) and in lines of words with a leader (casts, credits). Lines with a time of day
+    and at least a figure to two words, timetables, have no words."""
     shape: list = []
     sizes: list[int] = []
     words: list = []
-    find = PIECE.finditer
+    find, most = PIECE.finditer, max(s.entry, s.caption)
     for line in text.split("\n"):
         first, kinds = len(shape), []
         for m in find(line):
             kind, piece = m.lastgroup, m.group()
-            kinds.append(kind)
-            if kind == "words":
-                own = piece.split()
-                words.append(own)
-                sizes.append(len(piece) if len(own) == 1 else sum(map(len, own)))
-                shape.append(len(own))
-            elif kind == "mark":
-                words.append(None)
-                sizes.append(0)
-                shape.append(piece)
+            if kind == "words" or kind == "word":
+                kinds.append("words")
+                words.append(piece)
+                sizes.append(len(piece) - piece.count(" ") - piece.count("\t"))
+                shape.append(len(piece.split(None, most)))  # so many or more
             else:
-                words.append(None)
-                sizes.append(len(piece))
-                shape.append(kind)
+                kinds.append(kind)
+                words.append("")
+                sizes.append(0 if kind == "mark" else len(piece))
+                shape.append(piece if kind == "mark" else kind)
         if "words" in kinds:
             figured = "number" in kinds or "link" in kinds
             if "clock" in kinds or (not figured and "tag" not in kinds and LEADER.search(line) is not None):
-                if "clock" in kinds and sum(x for x, kind in zip(shape[first:], kinds) if kind == "words") <= 2 * (kinds.count("clock") + kinds.count("number")):
-                    words[first:] = [None] * len(kinds)
+                if "clock" in kinds and sum(len(w.split()) for w in words[first:]) <= 2 * (kinds.count("clock") + kinds.count("number")):
+                    words[first:] = [""] * len(kinds)
                 shape[first:] = [None] * len(kinds)
             else:
                 figure = [kind in ("number", "link") for kind in kinds] + [False, False] if figured else []
@@ -266,7 +265,7 @@ def pieces(text: str, s: Settings) -> tuple[list, list[int], list]:
             shape[first:] = [None] * len(kinds)
         shape.append("\n")
         sizes.append(0)
-        words.append(None)
+        words.append("")
     return shape, sizes, words
 
 
@@ -279,13 +278,12 @@ def spam_share(text: str, s: Settings = Settings()) -> tuple[float, float, float
     if not total:
         return 0.0, 0.0, 0.0
     in_list = listed(shape, s)
-    lists = int(np.array(sizes)[in_list].sum())
-    words = [w for own in held if own is not None for w in own]
-    counted = stuffed(list(map(str.lower, words)), s)
+    lists = int(np.array(sizes)[in_list].sum()) if in_list.any() else 0
+    counted = stuffed(" ".join(held).lower().split(), s)
     repeated = both = 0
     if counted.any():
-        size = np.array(list(map(len, words)))
-        inside = np.repeat(in_list, [0 if own is None else len(own) for own in held])
+        size = np.array([len(w) for own in held for w in own.split()])
+        inside = np.repeat(in_list, [len(own.split()) for own in held])
         repeated = int(size[counted].sum())
         both = int(size[counted & inside].sum())
     return (lists + repeated - both) / total, repeated / total, lists / total
