@@ -242,7 +242,7 @@ def shuffle_key(seed: str, item: Column) -> Column:
 
 
 def tsv_cell(c: Column) -> Column:
-    """TX32."""
+    """TX32: text for one cell of a TSV, its tabs and line breaks as single spaces."""
     return F.regexp_replace(c, r"[\t\r\n]+", " ")
 
 
@@ -250,30 +250,29 @@ def tsv_cell(c: Column) -> Column:
 
 
 def align(query: list[str], title: list[str]) -> tuple[int, int, int]:
-    """(matched, start, end) of the best common subsequence: the longest, then the one with
-    the narrowest span in the title, then the earliest in the query, then in the title.
-
-    Where several paths of one length lead up to a match, the one that starts latest in the
-    title is extended, found first wins."""
-    paths: list[tuple[int, int, int, int, int]] = []  # length, first query, first title, last query, last title
-    best = (0, 0, 0, 0, 0)
-
-    def rank(p: tuple[int, int, int, int, int]) -> tuple[int, int, int, int]:
-        return (p[0], -(p[4] - p[2] + 1), -p[1], -p[2])
-
-    for i, q in enumerate(query):
-        for j, t in enumerate(title):
-            if q != t:
-                continue
-            before = None
-            for p in paths:
-                if p[3] < i and p[4] < j and (before is None or (p[0], p[2]) > (before[0], before[2])):
-                    before = p
-            path = (1, i, j, i, j) if before is None else (before[0] + 1, before[1], before[2], i, j)
-            paths.append(path)
-            if best[0] == 0 or rank(path) > rank(best):
-                best = path
-    return (0, -1, -1) if best[0] == 0 else (best[0], best[2], best[4])
+    """(matched, first, last): the best way to find words of the query in the title in their order: most
+    words first, then the narrowest stretch of the title, then the earliest word of the query, then
+    the earliest place in the title. (0, -1, -1) where no word is found.
+
+    Dynamic programming over prefixes: `upto[j]` is the chain to go on from after j words of the
+    title, with the rows of the query above: the longest, of equal ones that which begins latest in
+    the title, of equal ones the one met first. A chain is (words, first place in the title, first word of the query)."""
+    nothing = (0, -1, -1)
+    upto = [nothing] * (len(title) + 1)
+    best, found = None, (0, -1, -1)
+    for i, word in enumerate(query):
+        row, here = [nothing], nothing
+        for j, other in enumerate(title):
+            if word == other:
+                n, start, asked = upto[j]
+                chain = (n + 1, start if n else j, asked if n else i)
+                value = (chain[0], chain[1] - j, -chain[2], -chain[1])
+                if best is None or value > best:
+                    best, found = value, (chain[0], chain[1], j)
+                here = max(here, chain, key=lambda c: c[:2])
+            row.append(max(upto[j + 1], here, key=lambda c: c[:2]))
+        upto = row
+    return found
 
 
 ALIGNMENT = T.StructType([T.StructField("matched", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelrank.functions import text as tx
-from reelrank.operators.index import token_postings
 
 
 def page(entities: DataFrame, number: int, size: int, contains: str = "", role: str | None = None) -> DataFrame:
@@ -76,7 +75,7 @@ def typeahead(queries: DataFrame, entities: DataFrame, n: int = 6) -> DataFrame:
     n = max(1, min(12, n))
     q = queries.select("query_id", tx.exact_key(F.col("text")).alias("qk")).where(F.length("qk") >= 2).withColumn("k", F.left("qk", F.lit(2)))
     named = entities.select("id", "name", "weight", tx.exact_key(F.col("name")).alias("nk"))
-    words = F.expr("transform(split(nk, ' '), (w, i) -> named_struct('rest', array_join(slice(split(nk, ' '), i + 1, 1000), ' '), 'at', i))")
+    words = F.expr("transform(split(nk, ' '), (w, i) -> named_struct('rest', array_join(slice(split(nk, ' '), i + 1, size(split(nk, ' '))), ' '), 'at', i))")
     parts = named.withColumn("w", F.explode(words)).select("id", "name", "weight", "nk", "w.rest", "w.at").where(F.length("rest") >= 2).withColumn("k", F.left("rest", F.lit(2)))
     hit = q.join(parts, "k").where(F.startswith("rest", F.col("qk")))
     score = F.when(F.col("nk") == F.col("qk"), 4).when(F.col("at") == 0, 3).otherwise(2)
@@ -93,5 +92,3 @@ def lookup(records: DataFrame, text: str, n: int = 12) -> DataFrame:
     rows = records.where((F.col("id") == text.strip()) | F.contains(key, F.lit(wanted)))
     return rows.orderBy((F.col("id") == text.strip()).desc(), (key == wanted).desc(), F.startswith(key, F.lit(wanted)).desc(), F.desc("rating_count"), "title", "id").limit(n)
 
-
-__all__ = ["in_every_group", "lookup", "page", "related", "token_postings", "typeahead"]

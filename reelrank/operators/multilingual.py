@@ -15,25 +15,25 @@ from reelrank.runtime import cut
 
 #: How genres are called, by genre.
 GENRE_TERMS = {
-    "Action": "एक्शन|एक्शन वाली|मारधाड़|मार धाड़|action",
-    "Adventure": "एडवेंचर|साहसिक|रोमांचक साहसिक|adventure",
-    "Animation": "एनिमेशन|एनीमेशन|एनिमेटेड|कार्टून|animation|animated|cartoon",
-    "Children": "बच्चों की|बच्चों के लिए|bachchon ki|bachon ki|kids|children",
-    "Comedy": "कॉमेडी|हास्य|मजेदार|मज़ेदार|हँसाने वाली|हंसाने वाली|comedy|comedies|mazedar|majedar|hasane wali|hansane wali",
-    "Crime": "क्राइम|अपराध|अपराध वाली|crime",
-    "Documentary": "डॉक्यूमेंट्री|वृत्तचित्र|documentary|documentaries",
-    "Drama": "ड्रामा|drama",
-    "Fantasy": "फैंटेसी|फंतासी|fantasy",
-    "Film-Noir": "फिल्म नोयर|film-noir|film noir",
-    "Horror": "हॉरर|डरावनी|डरावना|डरावने|horror|darawani|darawane|darawni|daravni|daravani|daravne",
-    "Musical": "म्यूजिकल|संगीतमय|musical|musicals",
-    "Mystery": "मिस्ट्री|रहस्य|रहस्यमय|mystery|rahasya|rahasyamay",
-    "Romance": "रोमांस|रोमांटिक|प्रेम|प्यार वाली|romance|romantic|pyaar wali|pyar wali",
-    "Sci-Fi": "साइंस फिक्शन|विज्ञान कथा|science fiction|sci-fi|sci fi|vigyan katha",
-    "Thriller": "थ्रिलर|thriller",
-    "War": "युद्ध|युद्ध वाली|जंग वाली|war|yudh|yuddh|jung wali",
-    "Western": "वेस्टर्न|western",
-    "IMAX": "आईमैक्स|imax",
+    "Action": ["एक्शन", "एक्शन वाली", "मारधाड़", "मार धाड़", "action"],
+    "Adventure": ["एडवेंचर", "साहसिक", "रोमांचक साहसिक", "adventure"],
+    "Animation": ["एनिमेशन", "एनीमेशन", "एनिमेटेड", "कार्टून", "animation", "animated", "cartoon"],
+    "Children": ["बच्चों की", "बच्चों के लिए", "bachchon ki", "bachon ki", "kids", "children"],
+    "Comedy": ["कॉमेडी", "हास्य", "मजेदार", "मज़ेदार", "हँसाने वाली", "हंसाने वाली", "comedy", "comedies", "mazedar", "majedar", "hasane wali", "hansane wali"],
+    "Crime": ["क्राइम", "अपराध", "अपराध वाली", "crime"],
+    "Documentary": ["डॉक्यूमेंट्री", "वृत्तचित्र", "documentary", "documentaries"],
+    "Drama": ["ड्रामा", "drama"],
+    "Fantasy": ["फैंटेसी", "फंतासी", "fantasy"],
+    "Film-Noir": ["फिल्म नोयर", "film-noir", "film noir"],
+    "Horror": ["हॉरर", "डरावनी", "डरावना", "डरावने", "horror", "darawani", "darawane", "darawni", "daravni", "daravani", "daravne"],
+    "Musical": ["म्यूजिकल", "संगीतमय", "musical", "musicals"],
+    "Mystery": ["मिस्ट्री", "रहस्य", "रहस्यमय", "mystery", "rahasya", "rahasyamay"],
+    "Romance": ["रोमांस", "रोमांटिक", "प्रेम", "प्यार वाली", "romance", "romantic", "pyaar wali", "pyar wali"],
+    "Sci-Fi": ["साइंस फिक्शन", "विज्ञान कथा", "science fiction", "sci-fi", "sci fi", "vigyan katha"],
+    "Thriller": ["थ्रिलर", "thriller"],
+    "War": ["युद्ध", "युद्ध वाली", "जंग वाली", "war", "yudh", "yuddh", "jung wali"],
+    "Western": ["वेस्टर्न", "western"],
+    "IMAX": ["आईमैक्स", "imax"],
 }
 SHORTLIST, ALIAS_HEAD, MAX_WORDS, MAX_WINDOW = 30, 12, 32, 5
 
@@ -133,7 +133,7 @@ def genre_requests(queries: DataFrame, supported: list[str]) -> DataFrame:
     known = {}
     for genre, names in GENRE_TERMS.items():
         if genre in supported:
-            for name in [genre, *names.split("|")]:
+            for name in [genre, *names]:
                 known[" ".join(unicodedata.normalize("NFC", name).lower().replace("-", " ").split())] = genre
     terms = queries.sparkSession.createDataFrame(sorted(known.items()), "part string, genre string") if known else queries.sparkSession.createDataFrame([], "part string, genre string")
     q = queries.select("query_id", tx.unicode_text(F.col("text")).alias("t"))

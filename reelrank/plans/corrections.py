@@ -13,7 +13,8 @@ from reelrank.operators.index import trigram_lookup
 from reelrank.plans.metadata import GENRE_ALIASES, MEDIA_WORDS
 
 #: Words of a query that steer it.
-CONTROL_WORDS = "movie movies film films latest newest recent oldest rated rating ratings after before since with from about featuring starring directed director actor actress called named titled title contains minimum least imdb which is funny".split()
+CONTROL_WORDS = ["movie", "movies", "film", "films", "latest", "newest", "recent", "oldest", "rated", "rating", "ratings", "after", "before", "since", "with", "from", "about", "featuring", "starring", "directed", "director", "actor", "actress", "called", "named", "titled", "title", "contains", "minimum", "least", "imdb", "which", "is", "funny"]
+#: The phrasings that name a role or a title.
 DIRECTOR = r"\b(?:directed\s+by|director)\b"
 ACTOR = r"\b(?:starring|featuring|with|actor|actress|cast)\b"
 CLEAR_ACTOR = r"\b(?:starring|featuring|actor|actress|cast)\b"

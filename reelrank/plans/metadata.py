@@ -36,8 +36,9 @@ GENRE_ALIASES = {
 }
 COMPOUND_GENRES = ["romantic comedy"]
 #: Words that are no title terms beside metadata.
-NON_TITLE_TERMS = "a an and at about film films for from in is movie movies of or the which with featuring starring rated rating ratings above over least after before since minimum no fewer than user".split()
+NON_TITLE_TERMS = ["a", "an", "and", "at", "about", "film", "films", "for", "from", "in", "is", "movie", "movies", "of", "or", "the", "which", "with", "featuring", "starring", "rated", "rating", "ratings", "above", "over", "least", "after", "before", "since", "minimum", "no", "fewer", "than", "user"]
 MEDIA_WORDS = ["movie", "movies", "film", "films"]
+#: The phrasings that queries may use for filters, titles and sorts.
 YEAR = r"((?:19|20)\d{2})"
 PATTERNS = {
     "decade": r"\b((?:19|20)\d0)s\b",
@@ -51,6 +52,11 @@ PATTERNS = {
 TITLE_PATTERNS = [r"\btitle\s+(?:contains?|containing|has|with)\s+(.+)$", r"\b(?:movies?|films?)\s+(?:with|containing)\s+(.+?)\s+in\s+(?:the\s+)?title\b", r"\b(?:called|named|titled)\s+(.+)$"]
 
 
+SORT_WORDS = r"\b(latest|newest|recent)\b"
+SORT_WORD_WITH_MEDIA = r"\b(new)\b"
+IMDB_BOUNDS = [r"\b(\d(?:\.\d)?)\s*\+\s*(?:(?:in|on)\s+)?imdb\b", r"\bimdb\s*(\d(?:\.\d)?)\s*\+"]
+
+
 def _quote(term: str) -> str:
     return "".join("\\" + c if not (c.isalnum() or c == " ") else c for c in term)
 
@@ -127,10 +133,10 @@ def has_metadata() -> Column:
 def sort_source(key: Column) -> Column:
     """PL15: the word that asks for the newest first, else null."""
     media = F.arrays_overlap(ordered_tokens(key), F.array(*map(F.lit, MEDIA_WORDS)))
-    return F.coalesce(found(key, r"\b(latest|newest|recent)\b"), F.when(media, found(key, r"\b(new)\b")))
+    return F.coalesce(found(key, SORT_WORDS), F.when(media, found(key, SORT_WORD_WITH_MEDIA)))
 
 
 def unsupported(key: Column) -> Column:
     """PL16: a bound on a rating the catalogue doesn't have, else null."""
-    bound = F.coalesce(found(key, r"\b(\d(?:\.\d)?)\s*\+\s*(?:(?:in|on)\s+)?imdb\b"), found(key, r"\bimdb\s*(\d(?:\.\d)?)\s*\+"))
+    bound = F.coalesce(*[found(key, p) for p in IMDB_BOUNDS])
     return F.concat(F.lit("IMDb rating >= "), bound)

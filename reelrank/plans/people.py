@@ -253,8 +253,8 @@ def query_grounding(spark, folder):
 
 def genre_grammar(spark, folder):
     """PL23, QY3: the genres' names as requests in their three scripts, answered."""
-    names = spark.createDataFrame([(f"{g}:{i}", n + " movies") for g, t in ml.GENRE_TERMS.items() for i, n in enumerate(t.split("|"))] + [("pair", "comedy and drama films"), ("either", "horror ya thriller")], "query_id string, text string")
-    supported = [r.genre for r in table(spark, folder, "genre_names").select("genre").limit(1000).collect()]
+    names = spark.createDataFrame([(f"{g}:{i}", n + " movies") for g, t in ml.GENRE_TERMS.items() for i, n in enumerate(t)] + [("pair", "comedy and drama films"), ("either", "horror ya thriller")], "query_id string, text string")
+    supported = sorted(set(cat.genre_aliases(spark, folder).values()))
     return ml.retrieve(ml.genre_requests(names, supported), cp.rating_evidence(cat.records(spark, folder)))
 
 
