@@ -134,20 +134,52 @@ def numeric_order(value: Column) -> list[Column]:
     return [F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), sized(number(p))).otherwise(p)), "").asc(), value.asc()]
 
 
-def boost_people(ranked: DataFrame, credits: DataFrame) -> DataFrame:
-    """RK11/JN12/WN3: ranked (query_id, id, base_rank, combined_score, rating_evidence,
-    prefix_match, title_intent, person_intent) with the popularity boost of the people each
-    query hints at and SO2's new order (`rank_no`).
-
-    credits: (query_id, id, person_id, person_rank, popularity): the people of a query (at
-    most five, by rank from 0) that a record credits; the first of a record counts."""
-    first = credits.groupBy("query_id", "id").agg(F.min_by(F.struct("person_id", "person_rank", "popularity"), "person_rank").alias("p"))
-    most = credits.groupBy("query_id").agg(F.max("popularity").alias("most"))
-    joined = ranked.join(first, ["query_id", "id"], "left").join(most, "query_id", "left")
-    turn = F.when(F.col("p").isNotNull(), F.row_number().over(W.partitionBy("query_id", F.col("p.person_id")).orderBy("base_rank")))
-    seen = joined.withColumn("occurrence", turn)
+def prefix_clusters(pairs: DataFrame) -> DataFrame:
+    """AG17: (query_id, cluster): how many candidates of each query have a title that goes on from its
+    one word. pairs: (query_id, prefix_match)."""
+    return pairs.groupBy("query_id").agg(F.count_if("prefix_match").alias("cluster"))
+
+
+def cluster_boost(score: Column, title_intent: Column, prefix: Column) -> Column:
+    """RK10: a little more for titles of the cluster, at most 1."""
+    return F.when(title_intent & prefix, F.least(F.lit(1.0), tx.fixed(score + CLUSTER_BOOST, 6))).otherwise(score)
+
+
+def person_boost(rows: DataFrame, hints: DataFrame) -> DataFrame:
+    """RK11/JN12/WN3: rows (query_id, id, combined_score, rating_evidence and the columns of base_order)
+    with person_id, person_rank, occurrence, boost and boosted_score.
+
+    hints: (query_id, id, person_id, person_rank, popularity): the people of a query (at most five, by
+    rank from 0) that a record credits; the first of a record counts. A person's records count less
+    from one to the next, in base order. Rows without a person are groups of one."""
+    first = hints.groupBy("query_id", "id").agg(F.min_by(F.struct("person_id", "person_rank", "popularity"), F.struct("person_rank", "person_id")).alias("p"))
+    most = hints.groupBy("query_id").agg(F.max("popularity").alias("most"))
+    joined = rows.join(first.join(most, "query_id"), ["query_id", "id"], "left")
+    group = F.coalesce(F.concat(F.lit("p"), F.col("p.person_id")), F.concat(F.lit("r"), F.col("id")))
+    seen = joined.withColumn("_group", group).withColumn("occurrence", F.row_number().over(W.partitionBy("query_id", "_group").orderBy(*base_order())))
+    seen = seen.withColumn("occurrence", F.when(F.col("p").isNotNull(), F.col("occurrence")))
     signal = F.try_divide(F.col("p.popularity").cast("double"), F.col("most"))
     boost = tx.fixed(tx.fixed(F.lit(PERSON_BOOST) * signal / F.sqrt(F.col("occurrence").cast("double")), 6) + tx.fixed(F.lit(PERSON_EVIDENCE) * F.col("rating_evidence"), 6), 6)
-    scored = seen.withColumn("boost", F.coalesce(boost, F.lit(0.0))).withColumn("boosted_score", F.when(F.col("boost") > 0, F.least(F.lit(1.0), tx.fixed(F.col("combined_score") + F.col("boost"), 6))).otherwise(F.col("combined_score")))
-    order = [F.when(F.col("title_intent"), F.col("prefix_match").cast("int")).otherwise(0).desc(), F.when(F.col("person_intent"), F.coalesce("p.person_rank", F.lit(1 << 30))).otherwise(0).asc(), F.desc("boosted_score"), F.asc("base_rank")]
-    return scored.withColumn("rank_no", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).drop("most").withColumn("person_id", F.col("p.person_id")).drop("p")
+    lifted = F.when(F.col("boost").isNotNull(), F.least(F.lit(1.0), tx.fixed(F.col("combined_score") + F.col("boost"), 6))).otherwise(F.col("combined_score"))
+    out = seen.withColumn("boost", boost).withColumn("boosted_score", lifted).withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+    return out.withColumns({"person_id": F.col("p.person_id"), "person_rank": F.col("p.person_rank")}).drop("p", "most", "_group")
+
+
+def people_order(has_people: Column) -> list[Column]:
+    """SO2, for queries that hint at people (has_people): titles of the cluster where the title
+    is meant, then the people in their order where people are, then the boosted score; base order for
+    all that is equal, and for all other queries."""
+    only = lambda c: F.when(has_people, c)
+    return [
+        only(F.when(F.col("title_intent"), F.col("prefix_match").cast("int")).otherwise(0)).desc_nulls_last(),
+        only(F.when(F.col("person_intent"), F.coalesce("person_rank", F.lit(1 << 30))).otherwise(0)).asc_nulls_last(),
+        only(F.col("boosted_score")).desc_nulls_last(),
+        *base_order(),
+    ]
+
+
+def boost_people(ranked: DataFrame, hints: DataFrame) -> DataFrame:
+    """Both for rows that hold a base_rank instead of the columns of base_order: `rank_no` is SO2's."""
+    base = {"is_exact": F.lit(0), "phrase_priority": F.lit(0), "exact_entity": F.lit(0), "genre_matches": F.lit(0), "structured_score": -F.col("base_rank"), "eligible": F.lit(False), "average_rating": F.lit(0.0), "ordered_coverage": F.lit(0), "token_coverage": F.lit(0), "dice": F.lit(0), "rating_count": F.lit(0), "title": F.lit("")}
+    rows = person_boost(ranked.withColumns({c: v for c, v in base.items() if c not in ranked.columns}), hints)
+    return rows.withColumn("rank_no", F.row_number().over(W.partitionBy("query_id").orderBy(*people_order(F.lit(True)))))

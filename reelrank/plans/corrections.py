@@ -11,6 +11,7 @@ from reelrank.functions import text as tx
 from reelrank.operators.fuzzy import near_keys, near_tokens, windows, within_distance
 from reelrank.operators.index import trigram_lookup
 from reelrank.plans.metadata import GENRE_ALIASES, MEDIA_WORDS
+from reelrank.runtime import cut
 
 #: Words of a query that steer it.
 CONTROL_WORDS = ["movie", "movies", "film", "films", "latest", "newest", "recent", "oldest", "rated", "rating", "ratings", "after", "before", "since", "with", "from", "about", "featuring", "starring", "directed", "director", "actor", "actress", "called", "named", "titled", "title", "contains", "minimum", "least", "imdb", "which", "is", "funny"]
@@ -119,10 +120,10 @@ def title_aliases(records: DataFrame) -> DataFrame:
     return records.select("id", "title", F.explode(aliases).alias("alias"))
 
 
-def recurring_phrases(records: DataFrame) -> DataFrame:
+def recurring_phrases(records: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """IX12: (phrase, movie_count): the first 2 to 4 tokens of titles, articles aside, that
     at least two movies share."""
-    toks = title_aliases(records).select("id", tx.ordered_tokens(F.regexp_replace("alias", r"^(?:(?:a|an|the)\s+)+(?=\S)", "")).alias("t"))
+    toks = (title_aliases(records) if aliases is None else aliases).select("id", tx.ordered_tokens(F.regexp_replace("alias", r"^(?:(?:a|an|the)\s+)+(?=\S)", "")).alias("t"))
     prefixes = F.expr("transform(sequence(2, 4), k -> if(size(t) >= k, array_join(slice(t, 1, k), ' '), null))")
     rows = toks.select("id", F.explode(F.filter(prefixes, lambda p: p.isNotNull())).alias("phrase")).distinct()
     return rows.groupBy("phrase").agg(F.count("*").alias("movie_count")).where("movie_count >= 2")
@@ -154,13 +155,14 @@ def phrase_corrections(targets: DataFrame, phrases: DataFrame) -> DataFrame:
     return two.select("query_id", F.col("target").alias("original"), tx.title_case(F.col("phrase")).alias("replacement"), "distance", F.round("similarity", 3).alias("confidence"), policy.alias("policy"))
 
 
-def title_corrections(queries: DataFrame, records: DataFrame) -> DataFrame:
+def title_corrections(queries: DataFrame, records: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """PL13/JN9/WN4: (query_id, original, replacement, distance, confidence, policy). Recurring
     phrases come first; else of the 200 titles that share most trigrams the nearest alias, if near
-    enough and .08 clear of the next title. Queries that are a title need none."""
-    aliases = title_aliases(records)
-    targets = title_targets(queries).withColumn("etext", tx.edit_text(F.col("target"))).join(aliases.select(F.col("alias").alias("etext")).distinct(), "etext", "left_anti")
-    by_phrase = phrase_corrections(targets.drop("etext"), recurring_phrases(records))
+    enough and .08 clear of the next title. Queries that are a title need none. aliases: those of
+    title_aliases, where the caller holds them."""
+    aliases = cut(title_aliases(records)) if aliases is None else aliases
+    targets = cut(title_targets(queries).withColumn("etext", tx.edit_text(F.col("target"))).join(aliases.select(F.col("alias").alias("etext")).distinct(), "etext", "left_anti"))
+    by_phrase = cut(phrase_corrections(targets.drop("etext"), recurring_phrases(records, aliases)))
     rest = targets.join(by_phrase.select("query_id"), "query_id", "left_anti")
     near = trigram_lookup(rest.select("query_id", F.col("target").alias("text")), records)
     nominated = near.join(records.select("id", "title"), "id").withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("n_matched"), "title", "id"))).where(F.col("r") <= CORRECTION_CANDIDATES)
@@ -177,15 +179,16 @@ def title_corrections(queries: DataFrame, records: DataFrame) -> DataFrame:
     return by_phrase.unionByName(by_title)
 
 
-def corrections(queries: DataFrame, records: DataFrame, people: DataFrame, genres: DataFrame, autocorrect: bool = True) -> DataFrame:
+def corrections(queries: DataFrame, records: DataFrame, people: DataFrame, genres: DataFrame, autocorrect: bool = True, aliases: DataFrame | None = None) -> DataFrame:
     """PL14: each query's winning correction: (query_id, entity_type, original, replacement,
     confidence, policy, effective_query, suggested_query). Queries that are a title get none.
     Without autocorrect, automatic ones are suggestions."""
-    titles = title_aliases(records).select(F.col("alias").alias("etext")).distinct()
-    q = queries.select("query_id", "text").withColumn("etext", tx.edit_text(F.col("text"))).join(titles, "etext", "left_anti").select("query_id", "text")
+    aliases = cut(title_aliases(records)) if aliases is None else aliases
+    titles = aliases.select(F.col("alias").alias("etext")).distinct()
+    q = cut(queries.select("query_id", "text").withColumn("etext", tx.edit_text(F.col("text"))).join(titles, "etext", "left_anti").select("query_id", "text"))
     cols = ["query_id", "entity_type", "original", "replacement", "confidence", "policy"]
     kind = lambda df, name, policy=None: df.withColumn("entity_type", F.lit(name)).withColumn("policy", F.lit(policy) if policy else F.col("policy")).select(*cols)
-    found = kind(person_corrections(q, people), "person").unionByName(kind(title_corrections(q, records), "title")).unionByName(kind(genre_corrections(q, genres), "genre", "automatic")).unionByName(kind(control_corrections(q), "control", "automatic"))
+    found = kind(person_corrections(q, people), "person").unionByName(kind(title_corrections(q, records, aliases), "title")).unionByName(kind(genre_corrections(q, genres), "genre", "automatic")).unionByName(kind(control_corrections(q), "control", "automatic"))
     p = prepared(q)
     in_title = F.col("key").rlike(TITLE_CONTEXT) | F.col("key").rlike(TITLE_CONTAINS)
     has_genre = F.max((F.col("entity_type") == "genre").cast("int")).over(W.partitionBy("query_id"))

@@ -14,6 +14,7 @@ from reelrank.operators import review as rv
 from reelrank.operators.index import token_lookup
 from reelrank.plans import catalogue as cat
 from reelrank.plans import corrections as co
+from reelrank.plans import search as sr
 from reelrank.plans.people_sql import ORACLE  # noqa: F401
 from reelrank.runtime import clean_key, cut, table
 
@@ -35,6 +36,26 @@ def _all_queries(spark, folder):
     return table(spark, folder, "queries").select(clean_key("_id").alias("query_id"), "text").where("query_id is not null and text is not null").groupBy("query_id").agg(F.min("text").alias("text"))
 
 
+def records_with_people(spark, folder):
+    """Records with the people that the texts name: cast and directors."""
+    c = credits(spark, folder).select(F.col("movie_id").alias("id"), "role", "name").distinct()
+    lists = c.groupBy("id").agg(*[F.array_sort(F.collect_set(F.when(F.col("role") == r, F.col("name")))).alias(f) for r, f in (("actor", "cast"), ("director", "directors"))])
+    none = F.array().cast("array<string>")
+    return cat.records(spark, folder).join(lists, "id", "left").withColumns({f: F.coalesce(f, none) for f in ("cast", "directors")})
+
+
+def planned_search(spark, folder):
+    """QY1, QY2, PL22, RK10, RK11, SO2, SO7: the search with whole plans, for the search queries and, of the
+    movies whose number is divisible by 20, the titles with a letter missing and the last names of an actor."""
+    r = cut(records_with_people(spark, folder))
+    twentieth = r.where(F.pmod(F.col("id").try_cast("bigint"), F.lit(20)) == 0)
+    typos = twentieth.where("length(title) > 5").select(F.concat(F.lit("typo:"), "id").alias("query_id"), F.expr("left(title, length(title) - 1)").alias("text"))
+    stars = twentieth.where("size(cast) > 0").select(F.concat(F.lit("star:"), "id").alias("query_id"), F.substring_index(F.array_min("cast"), " ", -1).alias("text"))
+    q = cat.search_queries(spark, folder).unionByName(typos).unionByName(stars)
+    found = sr.search(q, r, 20, cat.genre_aliases(spark, folder), people=_people(spark, folder), genres=table(spark, folder, "genre_names").select("genre"))
+    return found.select("query_id", "rank_no", "id", "combined_score", "title_score", "field_score", "is_exact", "boost", "person_id")
+
+
 def entity_registry_people(spark, folder):
     """ETL10, ETL11, ETL13, ETL14."""
     return _people(spark, folder).withColumn("roles", F.array_join("roles", ","))
@@ -279,7 +300,6 @@ def judgment_pool(spark, folder):
     """QY12, FL4, SO11: what each search query's filters keep where a missing year counts as
     0, the best rated first."""
     from reelrank.operators import index as ix
-    from reelrank.plans import search as sr
 
     r = cut(cat.records(spark, folder))
     plans = cut(sr.plan(cat.search_queries(spark, folder), cat.genre_aliases(spark, folder)))
@@ -303,5 +323,5 @@ def genre_evidence(spark, folder):
     return top.groupBy("genre", "id").agg(F.min("strategy").alias("first_strategy"), F.min("rank_no").alias("best_rank"), F.count("*").alias("n_strategies"))
 
 
-_ALL = [query_plans, judgment_pool, genre_evidence, entity_registry_people, entity_registry_genres, entity_registry_tags, entity_page, entity_related, typeahead_titles, typeahead_people, exact_people, partial_people, fuzzy_person_join, genre_corrections, control_corrections, recurring_title_phrases, fuzzy_phrase_join, title_corrections, query_corrections, person_popularity_boost, review_keep_last, judgment_status, pool_round_robin, review_progress, baseline_compare, case_summary_grouping_sets, case_pass_rates, hash_shuffle_sample, hash_shuffle_every_fourth, alias_coverage, unicode_alias_match, alias_suggestions, query_grounding, genre_grammar, catalogue_match_band]
+_ALL = [planned_search, query_plans, judgment_pool, genre_evidence, entity_registry_people, entity_registry_genres, entity_registry_tags, entity_page, entity_related, typeahead_titles, typeahead_people, exact_people, partial_people, fuzzy_person_join, genre_corrections, control_corrections, recurring_title_phrases, fuzzy_phrase_join, title_corrections, query_corrections, person_popularity_boost, review_keep_last, judgment_status, pool_round_robin, review_progress, baseline_compare, case_summary_grouping_sets, case_pass_rates, hash_shuffle_sample, hash_shuffle_every_fourth, alias_coverage, unicode_alias_match, alias_suggestions, query_grounding, genre_grammar, catalogue_match_band]
 QUERIES = {f.__name__: f for f in _ALL}
