@@ -182,8 +182,10 @@ def unicode_key(normal: Column) -> Column:
 
 
 def graphemes(c: Column) -> Column:
-    """TX22."""
-    return F.regexp_extract_all(c, F.lit(r"(\X)"), 1)
+    """TX22: what is read as one character. Devanagari consonants that a virama joins are one, as in the
+    newer rules of Unicode, which \\X here doesn't know."""
+    joined = "(?:[\u0915-\u0939\u0958-\u095f\u0978-\u097f]\u093c?\u094d\u200d?(?=[\u0915-\u0939\u0958-\u095f\u0978-\u097f]))*"
+    return F.regexp_extract_all(c, F.lit(f"({joined}\\X)"), 1)
 
 
 def grapheme_distance(a: list[str], b: list[str]) -> int:

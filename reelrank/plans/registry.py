@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from reelrank.plans import catalogue, people, records
+from reelrank.plans import catalogue, files, more_sql, people, records, texts
 
-_MODULES = [records, catalogue, people]
+_MODULES = [records, catalogue, people, files, texts]
 
 
 def queries() -> dict[str, Callable]:
@@ -14,7 +14,7 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _MODULES for k, s in m.ORACLE.items()}
+    return {k: s for m in [*_MODULES, more_sql] for k, s in m.ORACLE.items()}
 
 
 def flagship() -> Callable:

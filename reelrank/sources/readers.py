@@ -3,6 +3,7 @@ run as aggregations; what a message quotes is a bounded sample."""
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -35,9 +36,11 @@ class Dataset:
     qrels: DataFrame
 
 
-def read_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """SRC8: one of the quartet with its fixed schema; fields that don't fit fail the read."""
-    return spark.read.schema(CSV_SCHEMAS[name]).option("header", True).option("mode", "FAILFAST").option("escape", '"').option("multiLine", False).csv(path)
+def read_csv(spark: SparkSession, path: str, name: str, null: str = "") -> DataFrame:
+    """SRC8: one of the quartet with its fixed schema; fields that don't fit fail the read. null: how
+    a null is written."""
+    reader = spark.read.schema(CSV_SCHEMAS[name]).option("header", True).option("mode", "FAILFAST").option("escape", '"').option("multiLine", False).option("nullValue", null)
+    return reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -149,7 +152,7 @@ def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.length(F.trim("value")) > 0).count()
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
+def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SRC18: (path, bytes, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
@@ -171,6 +174,18 @@ def check_manifest(manifest: dict, now: str, max_files: int = 64) -> None:
             raise DataError(f"file {name} lacks a path, size or digest")
 
 
+def read_release(spark: SparkSession, folder: str, now: str, max_files: int = 64) -> tuple[dict, DataFrame]:
+    """SRC17/SRC18: the checked manifest of a release and (path, is_whole): whether each of its files is
+    there with the manifest's bytes and SHA-256."""
+    manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+    check_manifest(manifest, now, max_files)
+    wanted = spark.createDataFrame([(f["pathname"], f["bytes"], f["sha256"]) for f in manifest["files"].values()], "path string, bytes bigint, sha256 string")  # at most max_files
+    names = sorted({f["pathname"].split("/")[0] for f in manifest["files"].values()})
+    there = file_digests(spark, [f"{folder}/{n}/part-*" for n in names]).select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path"), F.col("bytes").alias("b"), F.col("sha256").alias("s"))
+    found = wanted.join(there, "path", "left")
+    return manifest, found.select("path", F.coalesce((F.col("bytes") == F.col("b")) & (F.col("sha256") == F.col("s")), F.lit(False)).alias("is_whole"))
+
+
 # --- enrichment
 
 

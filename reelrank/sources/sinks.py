@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelrank.functions.text import tsv_cell
+from reelrank.sources.readers import file_digests
 
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -16,9 +17,19 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
-def write_release(df: DataFrame, path: str) -> None:
-    """SNK8: gzip, never over something that is there."""
-    df.write.mode("errorifexists").option("compression", "gzip").json(path)
+def write_release(tables: dict[str, DataFrame], folder: str, release_id: str, expires_at: str) -> dict:
+    """SNK8: each table gzipped under its name, never over something that is there; then, last, so that
+    readers see a whole release or none, manifest.json with every part's path, bytes and SHA-256."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("errorifexists").option("compression", "gzip").json(f"{folder}/{name}")
+    files = {}
+    for name in tables:
+        for r in sorted(file_digests(spark, f"{folder}/{name}/part-*").collect()):  # one row a part
+            files[f"{name}/{r.path.rsplit('/', 1)[1]}"] = {"pathname": f"{name}/{r.path.rsplit('/', 1)[1]}", "bytes": r.bytes, "sha256": r.sha256}
+    manifest = {"schemaVersion": 1, "releaseId": release_id, "expiresAt": expires_at, "files": files}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{folder}/manifest")
+    return manifest
 
 
 def write_tsv(df: DataFrame, path: str, overwrite: bool = False) -> None:

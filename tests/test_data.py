@@ -130,10 +130,18 @@ def test_files(spark, files, tmp_path):
     sk.write_tsv(df, str(tmp_path / "out"))
     body = next((tmp_path / "out").glob("part*")).read_text()
     assert body.splitlines()[:2] == ["t\tn", "a b c\t1"]
-    sk.write_release(df, str(tmp_path / "rel"))
-    assert json.loads(gzip.open(next((tmp_path / "rel").glob("part*.gz")), "rt").readline())["n"] == 1
+    sk.write_release({"t": df}, str(tmp_path / "rel"), "r-2024.1", "2030-01-01")
+    part = next((tmp_path / "rel" / "t").glob("part*.gz"))
+    assert json.loads(gzip.open(part, "rt").readline())["n"] == 1
     with pytest.raises(Exception):
-        sk.write_release(df, str(tmp_path / "rel"))
+        sk.write_release({"t": df}, str(tmp_path / "rel"), "r-2024.1", "2030-01-01")
+    manifest, found = rd.read_release(spark, str(tmp_path / "rel"), "2029-01-01")
+    assert [r.is_whole for r in found.collect()] == [True] and manifest["releaseId"] == "r-2024.1"
+    with pytest.raises(rd.DataError):
+        rd.read_release(spark, str(tmp_path / "rel"), "2031-01-01")
+    (tmp_path / "rel" / "t" / f".{part.name}.crc").unlink(missing_ok=True)
+    part.write_bytes(gzip.compress(b"{}"))
+    assert [r.is_whole for r in rd.read_release(spark, str(tmp_path / "rel"), "2029-01-01")[1].collect()] == [False]
     cases = spark.createDataFrame([("a", "ok"), ("a", "no"), ("b", "ok")], "category string, status string")
     assert {(r.category, r.status): r.n for r in sk.case_workbook(cases).collect()}[(None, None)] == 3
 
