@@ -230,3 +230,23 @@ def compare(baseline: DataFrame, current: DataFrame, metrics: list[str], toleran
     deltas = [(F.col(f"_{m}") - F.col(m)).alias(f"delta_{m}") for m in metrics]
     worse = F.greatest(F.lit(0), *[F.coalesce((F.col(f"delta_{m}") < -tolerance).cast("int"), F.lit(1)) for m in metrics]) == 1
     return j.select("query_id", "category", *deltas).withColumn("is_worse", worse)
+
+
+def compare_reports(baseline: DataFrame, current: DataFrame, metrics: list[str], tolerance: float = 1e-4) -> DataFrame:
+    """AG27: two reports of one row, metric by metric: (metric, baseline, current, delta, relative, is_regression)."""
+    a = unpivot_report(baseline, metrics).withColumnRenamed("value", "baseline")
+    b = unpivot_report(current, metrics).withColumnRenamed("value", "current")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    j = a.join(b, "metric").select("metric", zero("baseline").alias("baseline"), zero("current").alias("current"))
+    delta = F.col("current") - F.col("baseline")
+    return j.select("metric", "baseline", "current", tx.fixed(delta, 6).alias("delta"), tx.fixed(F.try_divide(delta, F.col("baseline")), 6).alias("relative"), (delta < -tolerance).alias("is_regression"))
+
+
+def category_deltas(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """AG27: (category, queries, mean_rr_delta, mean_recall_delta, lost): mean changes over the current queries of
+    each category, a query without a baseline changing from 0, and how many lost their reciprocal rank."""
+    b = baseline.select("query_id", F.col("reciprocal_rank").alias("_rr"), F.col("recall_at_recall_k").alias("_recall"))
+    j = current.join(b, "query_id", "left")
+    delta = lambda c, o: F.coalesce(c, F.lit(0.0)) - F.coalesce(o, F.lit(0.0))
+    lost = (F.coalesce("_rr", F.lit(0.0)) > 0) & (F.col("reciprocal_rank") == 0)
+    return j.groupBy("category").agg(F.count("*").alias("queries"), tx.fixed(F.avg(delta("reciprocal_rank", "_rr")), 6).alias("mean_rr_delta"), tx.fixed(F.avg(delta("recall_at_recall_k", "_recall")), 6).alias("mean_recall_delta"), F.count_if(lost).alias("lost"))

@@ -107,3 +107,72 @@ def hash_sample(rows: DataFrame, item: str, seed: str, every: int = 4) -> DataFr
     by four. Whether a row is taken depends on its item alone."""
     h = F.conv(F.left(tx.shuffle_key(seed, F.col(item)), F.lit(8)), 16, 10).cast("bigint")
     return rows.where(h % every == 0)
+
+
+#: Words of a query that no text bears witness to.
+REVIEW_STOP_WORDS = ["movie", "movies", "film", "films", "classic", "indie", "quirky", "epic"]
+#: Weights of genre_quality and text_evidence.
+QUALITY_WEIGHTS = (0.55, 0.3, 0.15)
+TEXT_WEIGHT, GENRE_WEIGHT = 0.6, 0.4
+POOL_SOURCES = ["existing", "production", "baseline", "genre_quality", "text_evidence"]
+
+
+def genre_nominations(requests: DataFrame, records: DataFrame, depth: int = STRATEGY_DEPTH) -> DataFrame:
+    """QY8: (query_id, source, doc_id, rank): the first records by genre_quality (all genres held, by
+    focus, Bayesian rating and evidence) and by text_evidence (some genre held, by the share of the
+    query's words that tags and overview hold and the share of genres). requests: (query_id, text,
+    genres); records with rating evidence, tags and, where there is one, an overview.
+
+    Quality depends on the wanted genres alone, so every different list of genres is ranked once."""
+    from reelrank.operators.ranking import genre_focus, numeric_order
+
+    tie = numeric_order(F.col("id"))
+    held = records.withColumn("_g", F.explode(F.array_distinct("genres")))
+    asked = requests.where(F.size("genres") > 0).withColumn("wanted", F.array_sort(F.array_distinct("genres")))
+    lists = asked.select("wanted").distinct()
+    focus = genre_focus(F.col("wanted"), F.col("genres"))[1]
+    a, b, c = QUALITY_WEIGHTS
+    quality = tx.fixed(focus * a + F.col("bayesian_rating") / 5 * b + F.col("rating_evidence") * c, 6)
+    strict = lists.withColumn("_g", F.get("wanted", F.lit(0))).join(held, "_g").where(F.size(F.array_except("wanted", "genres")) == 0).withColumn("score", quality)
+    by_quality = ranked_within(strict, ["wanted"], [F.desc("score"), *tie], depth, "rank").select("wanted", F.col("id").alias("doc_id"), "rank")
+    stop = F.array(*map(F.lit, REVIEW_STOP_WORDS))
+    overview = F.col("overview") if "overview" in records.columns else F.lit("")
+    told = held.select("_g", "id", "genres", tx.exact_key(F.concat_ws(" ", F.array_join("tags", " "), overview)).alias("told"))
+    pairs = asked.select("query_id", "wanted", F.array_except(tx.query_tokens(F.col("text")), stop).alias("terms"), F.explode("wanted").alias("_g")).join(told, "_g").drop("_g").dropDuplicates(["query_id", "id"])
+    found = F.size(F.filter("terms", lambda t: F.contains("told", t)))
+    score = F.coalesce(F.try_divide(found.cast("double"), F.size("terms")), F.lit(0.0)) * TEXT_WEIGHT + F.size(F.array_intersect("wanted", "genres")) / F.size("wanted") * GENRE_WEIGHT
+    by_text = ranked_within(pairs.withColumn("score", tx.fixed(score, 6)).where("score > 0"), ["query_id"], [F.desc("score"), *tie], depth, "rank").select("query_id", F.lit("text_evidence").alias("source"), F.col("id").alias("doc_id"), "rank")
+    return asked.select("query_id", "wanted").join(by_quality, "wanted").select("query_id", F.lit("genre_quality").alias("source"), "doc_id", "rank").unionByName(by_text)
+
+
+def review_pool(nominations: DataFrame, depth: int = STRATEGY_DEPTH, size: int = POOL_SIZE) -> DataFrame:
+    """QY8: (query_id, place, doc_id, n_sources): existing judgments first, all of them, then round robin over
+    the ranks of the other strategies down to `depth`; `size` documents a query. nominations: (query_id,
+    source of POOL_SOURCES, doc_id, rank from 1)."""
+    no = F.create_map(*[x for i, s in enumerate(POOL_SOURCES) for x in (F.lit(s), F.lit(i))])[F.col("source")]
+    existing = F.col("source") == POOL_SOURCES[0]
+    kept = nominations.where(existing | (F.col("rank") <= depth)).withColumn("turn", F.when(existing, F.col("rank")).otherwise((1 << 30) + F.col("rank") * len(POOL_SOURCES) + no))
+    first = kept.groupBy("query_id", "doc_id").agg(F.min("turn").alias("turn"), F.count_distinct(F.when(F.col("rank") <= depth, F.col("source"))).alias("n_sources"))
+    return ranked_within(first, ["query_id"], ["turn", "doc_id"], size, "place").select("query_id", "place", "doc_id", "n_sources")
+
+
+def publication_readiness(results: DataFrame, pool: DataFrame, status: DataFrame, depth: int = 10, least: int = 20) -> DataFrame:
+    """QY10/JN19: (query_id, top_count, in_pool, finalized, action, is_ready, pool_complete) of every query
+    with results (query_id, doc_id, rank). The pool of a query is complete with `least` documents or
+    more, all reviewed twice and final; what is missing from the pool comes before what awaits reviews."""
+    top = results.where(F.col("rank") <= depth).select("query_id", "doc_id").distinct()
+    held = top.join(pool.select("query_id", "doc_id", F.lit(1).alias("_in")), ["query_id", "doc_id"], "left").join(status.select("query_id", "doc_id", "final_grade"), ["query_id", "doc_id"], "left")
+    per = held.groupBy("query_id").agg(F.count("*").alias("top_count"), F.count("_in").alias("in_pool"), F.count_if(F.col("_in").isNotNull() & F.col("final_grade").isNotNull()).alias("finalized"))
+    done = progress(pool, status).select("query_id", ((F.col("pool_size") >= least) & (F.col("twice_reviewed") == F.col("pool_size")) & (F.col("conflicts") == 0) & (F.col("finalized") == F.col("pool_size"))).alias("pool_complete"))
+    action = F.when(F.col("in_pool") < F.col("top_count"), "expand_pool").when(F.col("finalized") < F.col("in_pool"), "complete_reviews").otherwise("none")
+    return per.join(done, "query_id", "left").select("query_id", "top_count", "in_pool", "finalized", action.alias("action"), (action == "none").alias("is_ready"), F.coalesce("pool_complete", F.lit(False)).alias("pool_complete"))
+
+
+def review_problems(events: DataFrame, pool: DataFrame) -> DataFrame:
+    """QY9: (query_id, doc_id, reviewer_id, problem) of reviews that can't be taken: the first rule each breaks."""
+    known = events.join(pool.select("query_id", "doc_id").distinct().withColumn("_in", F.lit(True)), ["query_id", "doc_id"], "left")
+    who = F.length(F.btrim(F.coalesce("reviewer_id", F.lit(""))))
+    problem = F.when(F.col("_in").isNull(), "not_in_pool").when(~who.between(1, 80), "bad_reviewer").when(F.col("grade").isNull() | ~F.col("grade").between(0, 3), "bad_grade")
+    if "notes" in events.columns:
+        problem = F.coalesce(problem, F.when(F.length(F.btrim("notes")) > 500, "long_notes"))
+    return known.select("query_id", "doc_id", "reviewer_id", problem.alias("problem")).where("problem is not null")

@@ -75,3 +75,50 @@ def next_query_id(queries: DataFrame) -> str:
     """AG30: one more than the largest number, three digits at least."""
     top = queries.agg(F.max(F.regexp_extract("query_id", r"^q(\d+)\z", 1).try_cast("bigint"))).first()[0] or 0
     return f"q{top + 1:03d}"
+
+
+#: What a request may be.
+LONGEST_QUERY, MOST_RESULTS, WEIGHT_TOP = 300, 9742, 100
+
+
+def request_problems(requests: DataFrame) -> DataFrame:
+    """FL13: (request_id, problem): the first rule that each search request breaks, null for none. requests:
+    (request_id, query, result_limit, weights map<string,double>); null limits and weights are the defaults."""
+    weights = F.map_values("weights")
+    bad = F.exists(weights, lambda w: w.isNull() | F.isnan(w) | (w < 0) | (w > WEIGHT_TOP))
+    nothing = (F.size(weights) > 0) & ~F.exists(weights, lambda w: w > 0)
+    problem = (
+        F.when(F.col("query").isNull() | (F.btrim("query") == "") | (F.length("query") > LONGEST_QUERY), "query")
+        .when(bad, "weight")
+        .when(nothing, "weights")
+        .when(~F.coalesce("result_limit", F.lit(24)).between(1, MOST_RESULTS), "result_limit")
+    )
+    return requests.select("request_id", problem.alias("problem"))
+
+
+def normalized_filters(filters: DataFrame) -> DataFrame:
+    """FL2: genres unique and not empty in their order, the mode `all` or else `any`, bounds finite or null."""
+    finite = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.col(c)).alias(c)
+    genres = F.array_distinct(F.filter(F.coalesce("genres", F.array().cast("array<string>")), lambda g: g.isNotNull() & (g != "")))
+    return filters.select("query_id", genres.alias("genres"), F.when(F.col("genre_mode") == "all", "all").otherwise("any").alias("genre_mode"), *[finite(c) for c in ("year_min", "year_max", "rating_min", "count_min")])
+
+
+def film_cards(records: DataFrame, directors: int = 3, cast: int = 6) -> DataFrame:
+    """FL10/FL12: what a film's card shows: no long columns, the first directors and actors."""
+    return records.select("id", "title", "year", "genres", "average_rating", "rating_count", F.slice("directors", 1, directors).alias("directors"), F.slice("cast", 1, cast).alias("cast"))
+
+
+def public_entities(people: DataFrame, role: str | None = None) -> DataFrame:
+    """FL11: entities without their movies and credits; the count is that of the role, where one is asked for."""
+    count = F.col("movie_count") if role is None else F.coalesce(F.col(f"{role}_movie_count"), F.col("movie_count"))
+    return people.select("entity_id", "name", "roles", count.alias("movie_count"))
+
+
+def registry_stats(people: DataFrame, members: dict[str, DataFrame]) -> DataFrame:
+    """ETL17: (kind, entities, links): how many entities a registry has of each kind, and how many movies they link."""
+    kinds = {"actor": people.where("actor_movie_count > 0").select(F.col("actor_movie_count").alias("n")), "director": people.where("director_movie_count > 0").select(F.col("director_movie_count").alias("n")), **{k: v.select(F.col("movie_count").alias("n")) for k, v in members.items()}}
+    out = None
+    for kind, rows in kinds.items():
+        one = rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("entities"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("links"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -97,8 +97,8 @@ b1 as (select *, row_number() over (partition by query_id order by s desc, ratin
 {CREDITS}, c as (select distinct movie_id id, lower("name") p from cr), n as (select p, count(*) pop from c group by 1),
 oq as (select distinct query_id, p, pop from b join c using (id) join n using (p)), top5 as (select * from (select *, row_number() over (partition by query_id order by pop desc, p) r from oq) where r <= 5),
 hi as (select query_id, id, p, r, pop from b join c using (id) join top5 using (query_id, p)), fi as (select query_id, id, arg_min(p, r) p, arg_min(pop, r) pop from hi group by 1, 2), mo as (select query_id, max(pop) most from hi group by 1),
-j as (select b.*, p, pop, most from b left join fi using (query_id, id) left join mo using (query_id)),
-o as (select *, case when p is not null then row_number() over (partition by query_id, p order by base_rank) end occ from j),
-x as (select *, case when p is null then 0.0 else {fixed(fixed('0.06::double * (pop::double / most) / sqrt(occ::double)', 6) + ' + ' + fixed('0.01::double * evidence', 6), 6)} end boost from o),
-y as (select *, case when p is null then s else least(1.0, {fixed('s + boost', 6)}) end bs from x)
-select query_id, id, base_rank::int base_rank, boost, bs boosted_score, occ::int occurrence, p person_id, (row_number() over (partition by query_id order by bs desc, base_rank))::int rank_no from y"""
+jb as (select b.*, p, pop, most from b left join fi using (query_id, id) left join mo using (query_id)),
+ob as (select *, case when p is not null then row_number() over (partition by query_id, p order by base_rank) end occ from jb),
+xb as (select *, case when p is null then 0.0 else {fixed(fixed('0.06::double * (pop::double / most) / sqrt(occ::double)', 6) + ' + ' + fixed('0.01::double * evidence', 6), 6)} end boost from ob),
+yb as (select *, case when p is null then s else least(1.0, {fixed('s + boost', 6)}) end bs from xb)
+select query_id, id, base_rank::int base_rank, boost, bs boosted_score, occ::int occurrence, p person_id, (row_number() over (partition by query_id order by bs desc, base_rank))::int rank_no from yb"""

@@ -308,18 +308,21 @@ def judgment_pool(spark, folder):
     return cp.ranked_within(j, ["query_id"], [F.desc_nulls_last("average_rating"), F.desc("rating_count"), F.asc("title"), F.asc("id")], 20).select("query_id", "rank_no", "id", "rating_count")
 
 
-def genre_evidence(spark, folder):
-    """QY11, WN9, WN10: single-genre discovery under four weightings, pooled: each record's first
-    strategy and best rank."""
-    from reelrank.operators.ranking import genre_focus, structured_genre_score
+#: The weightings that are compared: focus, Bayesian rating, evidence.
+EVIDENCE_STRATEGIES = [(15, 55, 30), (10, 20, 70), (10, 80, 10)]
+
 
+def genre_evidence(spark, folder):
+    """QY11, WN9, WN10: every genre's first ten by the raw average, then by three weightings of the
+    structured score, pooled: each record's first strategy and best rank."""
     rows = cp.rating_evidence(cat.records(spark, folder))
     held = rows.select("*", F.explode(F.array_distinct("genres")).alias("genre")).withColumn("wanted", F.array("genre"))
-    held = held.withColumn("genre_focus", genre_focus(F.col("wanted"), F.col("genres"))[1])
-    strategies = [(15, 55, 30), (40, 30, 30), (0, 100, 0), (0, 0, 100)]
-    scores = [F.struct(F.lit(i).alias("strategy"), structured_genre_score(F.size("wanted"), dict(zip(("genre_focus", "bayesian_rating", "rating_evidence"), w))).alias("score")) for i, w in enumerate(strategies)]
-    lists = held.select("genre", "id", "rating_count", F.explode(F.array(*scores)).alias("s")).select("genre", "id", "rating_count", "s.*")
-    top = cp.ranked_within(lists, ["genre", "strategy"], [F.desc("score"), F.desc("rating_count"), F.asc("id")], 10)
+    held = held.withColumn("genre_focus", rk.genre_focus(F.col("wanted"), F.col("genres"))[1])
+    average = F.coalesce("average_rating", F.lit(0.0))
+    scores = [F.struct(F.lit(0).alias("strategy"), average.alias("score"), F.lit(0.0).alias("average"))]
+    scores += [F.struct(F.lit(i).alias("strategy"), rk.structured_genre_score(F.size("wanted"), dict(zip(("genre_focus", "bayesian_rating", "rating_evidence"), w))).alias("score"), F.when(F.col("eligible"), average).otherwise(0.0).alias("average")) for i, w in enumerate(EVIDENCE_STRATEGIES, 1)]
+    lists = held.select("genre", "id", "title", "rating_count", F.explode(F.array(*scores)).alias("s")).select("genre", "id", "title", "rating_count", "s.*")
+    top = cp.ranked_within(lists, ["genre", "strategy"], [F.desc("score"), F.desc("average"), F.desc("rating_count"), F.asc("title"), F.asc("id")], 10)
     return top.groupBy("genre", "id").agg(F.min("strategy").alias("first_strategy"), F.min("rank_no").alias("best_rank"), F.count("*").alias("n_strategies"))
 
 

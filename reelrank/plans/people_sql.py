@@ -62,10 +62,10 @@ ORACLE = {
   and (len(p.genres) = 0 or (p.genre_mode = 'all' and len(list_intersect(list_distinct(p.genres), rec.genres)) = len(p.genres)) or (p.genre_mode = 'any' and list_has_any(p.genres, rec.genres)))
   and (year_min is null or coalesce(rec."year", 0) >= year_min) and (year_max is null or coalesce(rec."year", 0) <= year_max) and (rating_min is null or rec.average_rating >= rating_min) and (count_min is null or rec.rating_count >= count_min))
 select query_id, rank_no::int rank_no, id, rating_count from j where rank_no <= 20""",
-    "genre_evidence": f"""with {RECORDS}, {evidence('rec')}, h as (select *, 1.0::double / greatest(1, len(genres)) focus, unnest(list_distinct(genres)) genre from ev),
-sx as (select genre, id, rating_count, 0 strategy, {_SCORE(0.15, 0.55, 0.3)} score from h union all select genre, id, rating_count, 1, {_SCORE(0.4, 0.3, 0.3)} from h
-  union all select genre, id, rating_count, 2, {_SCORE(0.0, 1.0, 0.0)} from h union all select genre, id, rating_count, 3, {_SCORE(0.0, 0.0, 1.0)} from h),
-t as (select *, row_number() over (partition by genre, strategy order by score desc, rating_count desc, id) rank_no from sx)
+    "genre_evidence": f"""with {RECORDS}, {evidence('rec')}, h as (select *, 1.0::double / greatest(1, len(genres)) focus, coalesce(average_rating, 0.0) av, case when eligible then coalesce(average_rating, 0.0) else 0.0 end ea, unnest(list_distinct(genres)) genre from ev),
+sx as (select genre, id, title, rating_count, 0 strategy, av score, 0.0 average from h union all select genre, id, title, rating_count, 1, {_SCORE(0.15, 0.55, 0.3)}, ea from h
+  union all select genre, id, title, rating_count, 2, {_SCORE(0.1, 0.2, 0.7)}, ea from h union all select genre, id, title, rating_count, 3, {_SCORE(0.1, 0.8, 0.1)}, ea from h),
+t as (select *, row_number() over (partition by genre, strategy order by score desc, average desc, rating_count desc, title, id) rank_no from sx)
 select genre, id, min(strategy)::int first_strategy, min(rank_no)::int best_rank, count(*) n_strategies from t where rank_no <= 10 group by 1, 2""",
     "entity_registry_people": f"""with {PEOPLE} select *, array_to_string(list_filter([case when actor_movie_count > 0 then 'actor' end, case when director_movie_count > 0 then 'director' end], lambda r: r is not null), ',') roles from people""",
     "entity_registry_genres": f"with {TITLES} {_MEMBERS('genre', 'select id, trim(g, ' + SQL_WS + ') n from (select id, unnest(genres) g from titles)')}",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from reelrank.plans import catalogue, files, more_sql, people, records, texts
+from reelrank.plans import catalogue, files, judging, more_sql, people, records, texts
 
-_MODULES = [records, catalogue, people, files, texts]
+_MODULES = [records, catalogue, people, files, texts, judging]
 
 
 def queries() -> dict[str, Callable]:
