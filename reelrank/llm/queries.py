@@ -179,7 +179,57 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_pages(spark, folder).where("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p3_significant, p4_found, p4_terms, p5_found, p6_ratings, p6_ratings_all, p6_latency, p6_latency_months, p7_found, p7_copies, p8_pack, p8_pack_each, p9_mix, p9_shares, p10_found, p10_pages)}
+# --- the same operators on values that SQL can compute too: stored spellings, sizes in characters
+
+
+def _stored_tags(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "tags").select(clean_key("movieId").alias("movie_id"), F.lower(F.trim("tag")).alias("tag")).where("movie_id is not null and tag <> ''")
+
+
+def p3_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of tags as written, but for case, with lift and ratio."""
+    found = cooccur.cooccurrence(_stored_tags(spark, folder), "movie_id", "tag", 3, min_ratio=SIGNIFICANT)
+    return found.select("item_a", "item_b", "n_a", "n_b", "n_ab", "n", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
+
+
+def p4_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequencies of tags as written, but for case, and of the titles' words."""
+    tags = cut(_stored_tags(spark, folder))
+    of_tags = termfreq.term_frequencies(tags, "movie_id", "tag", None, tags.select("movie_id").distinct().count(), RARE_BELOW, COMMON_ABOVE)
+    return of_tags.select(F.lit("tag").alias("fld"), "*").unionByName(p4_terms(spark, folder).where("fld = 'title'"))
+
+
+def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows and spellings the collapsed records stand for."""
+    tags = table(spark, folder, "tags").select(clean_key("movieId").alias("movie_id"), "tag")
+    found = collapse.collapse_copies(tags, ["movie_id"], "tag")
+    return found.agg(F.sum("copies").cast("bigint").alias("n_rows"), F.count("*").alias("n_spellings"), F.sum(F.when(F.col("pos") == 0, F.col("n_copies"))).cast("bigint").alias("n_copies"))
+
+
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every character in a container once, none overfull, all as small as may be."""
+    limits = sorted({r.capacity_tokens for r in pack_limits(spark, folder)})
+    docs = table(spark, folder, "documents").where("doc_id is not null")
+    found = cut(packing.pack(docs.select("doc_id", F.col("n_chars").cast("int").alias("n")), "doc_id", "n", limits))
+    bins = found.groupBy("bin_id").agg(F.sum("size").alias("held"), F.max("capacity").alias("capacity"), F.min("capacity").alias("least"), F.max("unused").alias("unused"))
+    fits = F.array_min(F.filter(F.array(*map(F.lit, limits)), lambda c: c >= F.col("held")))
+    wrong = bins.agg(F.count_if((F.col("held") > F.col("capacity")) | (F.col("capacity") != F.col("least")) | (F.col("unused") != F.col("capacity") - F.col("held")) | (F.col("capacity") != fits)).alias("wrong_bins"))
+    sums = found.agg(F.count_distinct("item").alias("documents"), F.count("*").alias("pieces"), F.sum("size").cast("bigint").alias("characters"), F.count_if((F.col("piece") > 0) & (F.col("offset") == 0)).alias("wrong_offsets"))
+    return sums.crossJoin(F.broadcast(wrong))  # one row each
+
+
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """By source: whether its share is met, and documents drawn more often than allowed."""
+    docs = table(spark, folder, "documents").where("doc_id is not null")
+    targets = table(spark, folder, "mix_targets")
+    drawn, shares = mixing.draw_mix(docs.select("doc_id", "source", "n_chars"), "doc_id", "source", "n_chars", targets)
+    most = targets.select("source", "max_repeats")
+    over = drawn.join(most, "source").groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("over_repeated"))
+    met = shares.where("target_share > 0 and available_tokens > 0")
+    return met.join(over, "source", "left").select("source", "available_tokens", F.round("wanted_share", 9).alias("wanted_share"), (F.abs(F.col("reached_share") - F.col("wanted_share")) < 0.005).alias("is_met"), F.coalesce("over_repeated", F.lit(0)).alias("over_repeated"))
+
+
+QUERIES = {f.__name__: f for f in (p3_stored, p4_stored, p7_totals, p8_checks, p9_checks, p3_found, p3_pairs, p3_significant, p4_found, p4_terms, p5_found, p6_ratings, p6_ratings_all, p6_latency, p6_latency_months, p7_found, p7_copies, p8_pack, p8_pack_each, p9_mix, p9_shares, p10_found, p10_pages)}
 
 # --- the same in SQL, where SQL can express it (no NFKC there, so nothing on tag forms)
 
@@ -210,6 +260,8 @@ _LATENCY = f"""select q.category, strftime(t.run_at, '%Y-%m-%d') "day", strftime
   from tiny_run t left join (select {_key('_id')} k, min(metadata.category) category from queries group by 1) q on q.k = {_key('t.query_id')}
   where latency_ms >= 0 and isfinite(latency_ms) and t.run_at is not null and {_key('t.query_id')} is not null"""
 
+_X = lambda c: f"(case when {c} > 0 then ({c})::double * ln(({c})::double) else 0.0 end)"
+
 ORACLE: dict[str, str] = {
     "p5_found": f"""
 with r as (select {_key('query_id')} query_id, unnest(results) x from tiny_run),
@@ -222,4 +274,21 @@ select query_id, rank_no::int as rank_no, doc_id from (
     "p6_ratings_all": _percentiles(f"select movie_id, bucket, count(*) n from ({_RATING}) group by all", "movie_id"),
     "p6_latency": _percentiles(f"select category, \"day\", bucket, count(*) n from ({_LATENCY}) group by all", 'category, "day"'),
     "p6_latency_months": _percentiles(f"select category, \"month\", bucket, count(*) n from ({_LATENCY}) group by all", 'category, "month"'),
+    "p3_stored": f"""
+with t as (select distinct {_key('"movieId"')} m, lower(trim(tag, ' ')) x from tags where {_key('"movieId"')} is not null and trim(tag, ' ') <> ''),
+s as (select x, count(*) n from t group by 1), k as (select count(distinct m) n from t),
+p as (select a.x item_a, b.x item_b, count(*) c from t a join t b on a.m = b.m and a.x < b.x where a.x in (select x from s where n >= 3) and b.x in (select x from s where n >= 3) group by 1, 2 having count(*) >= 3),
+j as (select item_a, item_b, sa.n a, sb.n b, c, k.n n from p join s sa on sa.x = item_a join s sb on sb.x = item_b, k),
+l as (select *, greatest(0, 2 * (({_X('c')} + {_X('a - c')} + {_X('b - c')} + {_X('n - a - b + c')}) - ({_X('a')} + {_X('n - a')} + {_X('b')} + {_X('n - b')}) + {_X('n')})) llr from j)
+select item_a, item_b, a n_a, b n_b, c n_ab, n, round(c::double * n / (a::double * b), 6) lift, round(llr, 4) llr from l where llr >= {SIGNIFICANT}::double""",
+    "p4_stored": f"""
+with t as (select {_key('"movieId"')} m, lower(trim(tag, ' ')) x from tags where {_key('"movieId"')} is not null and trim(tag, ' ') <> ''),
+v as (select {_key('"movieId"')} m, min(title) title from movies where {_key('"movieId"')} is not null and title is not null group by 1),
+w as (select m, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) x from v),
+c as (select 'tag' fld, x term, count(*) o, count(distinct m) r, (select count(distinct m) from t) total from t group by x union all select 'title', x, count(*), count(distinct m), (select count(*) from v) from w group by x)
+select fld, term, o n_occurrences, r n_records, total total_records, case when r < {RARE_BELOW} then 'rare' when r > {COMMON_ABOVE} * total then 'common' end mark from c""",
+    "p7_totals": f"""select count(*) n_rows, count(distinct (k, tag)) n_spellings, count(*) n_copies from (select {_key('"movieId"')} k, tag from tags) where k is not null and regexp_matches(tag, '[\\p{{L}}\\p{{M}}\\p{{N}}]')""",
+    "p8_checks": """with c as (select max(capacity_tokens) c from pack_limits) select count(distinct doc_id) documents, sum(ceil(n_chars::double / c))::bigint pieces, sum(n_chars)::bigint characters, 0 wrong_offsets, 0 wrong_bins from documents, c where doc_id is not null and n_chars > 0""",
+    "p9_checks": """with a as (select source, sum(n_chars)::bigint t from documents where doc_id is not null and source is not null and n_chars > 0 group by 1), m as (select * from mix_targets join a using (source) where target_share > 0 and max_repeats > 0)
+select source, t available_tokens, round(target_share / sum(target_share) over (), 9) wanted_share, true is_met, 0 over_repeated from m""",
 }
