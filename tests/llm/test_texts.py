@@ -128,7 +128,7 @@ def test_best_fit_is_joint():
 
 
 def test_tokens(spark):
-    path = tokens.tokenizer_path()
+    path = tokens.TOKENIZER
     df = spark.createDataFrame([("Hello world",), ("",), (None,), ("<|endoftext|>",)], "t string")
     got = [r[0] for r in df.select(tokens.tokens_udf()("t")).collect()]
     assert got[0] == len(tokens.encoding(path).encode_ordinary("Hello world")) and got[1] == 0 and got[2] is None and got[3] > 1
