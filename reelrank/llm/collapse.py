@@ -13,12 +13,13 @@ full, so a bucket of any size fits."""
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +29,7 @@ from reelrank.runtime import cut, ship
 #: Combined rows that a trie is meant to hold, and so a bucket as long as there are no more
 #: than MAX_BUCKETS: their bounds are held by the driver and every task. Beyond that a bucket goes
 #: through several tries, one after the other.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 60_000
 MAX_BUCKETS = 65_536
 #: Distinct rows that a map task combines before it passes them on.
 COMBINE_ROWS = 200_000
@@ -136,8 +137,14 @@ def _common(a: bytes, b: bytes) -> bytes:
     return a[:n]
 
 
-def _child(open_: list[bytes]):
-    """bytes -> those of the open bucket and one more; null outside all open buckets."""
+def _child(open_: list[bytes]) -> Column:
+    """canon -> the bytes of its open bucket and one more; null outside all open buckets. Buckets of few
+    different depths are told by Spark's own lookups, others by bisection."""
+    depths = defaultdict(list)
+    for p in open_:
+        depths[len(p)].append(bytearray(p))
+    if len(depths) <= 8:
+        return F.coalesce(*[F.when(F.substring("canon", 1, d).isin(ps) if d else F.lit(True), F.substring("canon", 1, d + 1)) for d, ps in sorted(depths.items())])
 
     @F.pandas_udf(T.BinaryType())
     def child(s: pd.Series) -> pd.Series:
@@ -148,7 +155,7 @@ def _child(open_: list[bytes]):
             out.append(v[: len(open_[k]) + 1] if k >= 0 and v.startswith(open_[k]) else None)
         return pd.Series(out, dtype=object)
 
-    return child
+    return child("canon")
 
 
 def radix_bounds(canon: DataFrame, bucket_rows: int = BUCKET_ROWS, max_buckets: int = MAX_BUCKETS) -> list[bytes]:
@@ -164,7 +171,7 @@ def radix_bounds(canon: DataFrame, bucket_rows: int = BUCKET_ROWS, max_buckets:
     leaves: dict[bytes, int] = {}
     open_ = [_common(bytes(root.lo), bytes(root.hi))] if root.n > share and root.lo != root.hi else []
     while open_:
-        counts = canon.select("canon", _child(open_)("canon").alias("prefix")).where("prefix is not null").groupBy("prefix").agg(*extent).collect()
+        counts = canon.select("canon", _child(open_).alias("prefix")).where("prefix is not null").groupBy("prefix").agg(*extent).collect()
         open_ = []
         for r in counts:
             if r.n > share and r.lo != r.hi:

@@ -229,7 +229,7 @@ def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
     return met.join(over, "source", "left").select("source", "available_tokens", F.round("wanted_share", 9).alias("wanted_share"), (F.abs(F.col("reached_share") - F.col("wanted_share")) < 0.005).alias("is_met"), F.coalesce("over_repeated", F.lit(0)).alias("over_repeated"))
 
 
-QUERIES = {f.__name__: f for f in (p3_stored, p4_stored, p7_totals, p8_checks, p9_checks, p3_found, p3_pairs, p3_significant, p4_found, p4_terms, p5_found, p6_ratings, p6_ratings_all, p6_latency, p6_latency_months, p7_found, p7_copies, p8_pack, p8_pack_each, p9_mix, p9_shares, p10_found, p10_pages)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p3_significant, p4_found, p4_terms, p5_found, p6_ratings, p6_ratings_all, p6_latency, p6_latency_months, p7_found, p7_copies, p8_pack, p8_pack_each, p9_mix, p9_shares, p10_found, p10_pages, p3_stored, p4_stored, p7_totals, p8_checks, p9_checks)}
 
 # --- the same in SQL, where SQL can express it (no NFKC there, so nothing on tag forms)
 

@@ -63,6 +63,11 @@ def test_radix_bounds_skip_common_bytes(spark, monkeypatch):
     bounds = collapse.radix_bounds(df, bucket_rows=5, max_buckets=1000)
     assert levels == [1, 26]
     assert max(Counter(sum(b <= c for b in bounds) for c in canon).values()) <= 5
+    # of many depths: by bisection, the same bounds
+    deep = [bytes([97 + k]) * (k + 3) + bytes([97 + j]) for k in range(14) for j in range(20)]
+    many = cut(spark.createDataFrame([(bytearray(c),) for c in deep], "canon binary"))
+    bounds = collapse.radix_bounds(many, bucket_rows=4, max_buckets=1000)
+    assert max(Counter(sum(b <= c for b in bounds) for c in deep).values()) <= 4
     levels.clear()
     assert collapse.radix_bounds(df.limit(0)) == [] and collapse.radix_bounds(df.where(F.col("canon") == F.lit(canon[0])), 0) == [] and not levels
 
