@@ -46,7 +46,7 @@ class Settings:
 #: A link with its caption, a tag, a time of day, a number (also a code or price), a run of words, a
 #: mark. A caption may have any length; beyond 200 characters it holds no opening bracket, so that a
 #: page full of these is still read in linear time.
-_WORD = r"[\p{L}\p{M}](?:[\p{L}\p{M}\p{N}]|[-'’](?=\p{L}))*+"
+_WORD = r"[\p{L}\p{M}][\p{L}\p{M}\p{N}]*+(?:[-'’](?=\p{L})[\p{L}\p{M}\p{N}]++)*+"
 _NO_HOST = r"(?!(?:[.-]\w|://))"
 PIECE = regex.compile(
     rf"(?P<words>{_WORD}{_NO_HOST}(?:[ \t]+{_WORD}{_NO_HOST})*)"
@@ -59,6 +59,7 @@ PIECE = regex.compile(
 )
 #: Marks or wide gaps that stand between a name and its part in a line.
 LEADER = regex.compile(r"\S(?:\s?(?:\.{3,}|…|_{3,}|:)|\s[–—-]+\s|\t|\s{2})\s*+\S")
+LEADS = ("...", "…", "___", ":", "\t", "  ", "–", "—", "- ", "\u00a0")  # one of these is in every leader
 SAYS = ("entry", "number", "link", "tag")
 
 
@@ -225,6 +226,10 @@ def listed(shape: list, s: Settings) -> np.ndarray:
     return out
 
 
+def leads(line: str) -> bool:
+    return any(x in line for x in LEADS) and LEADER.search(line) is not None
+
+
 def pieces(text: str, s: Settings) -> tuple[list, list[int], list]:
     """(shape, sizes, words): the page's symbols, their characters (white space and marks aside) and the
     words of each, as one string. Clauses are None, and so is all in lines with a time of day
@@ -250,7 +255,7 @@ def pieces(text: str, s: Settings) -> tuple[list, list[int], list]:
                 shape.append(piece if kind == "mark" else kind)
         if "words" in kinds:
             figured = "number" in kinds or "link" in kinds
-            if "clock" in kinds or (not figured and "tag" not in kinds and LEADER.search(line) is not None):
+            if "clock" in kinds or (not figured and "tag" not in kinds and leads(line)):
                 if "clock" in kinds and sum(len(w.split()) for w in words[first:]) <= 2 * (kinds.count("clock") + kinds.count("number")):
                     words[first:] = [""] * len(kinds)
                 shape[first:] = [None] * len(kinds)
