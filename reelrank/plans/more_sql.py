@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from reelrank.operators.index import TRIGRAM_SHARE
+from reelrank.operators.multilingual import GENRE_TERMS
 from reelrank.plans.corrections import ACTOR, CONTROL_WORDS, CORRECTION_CANDIDATES, DIRECTOR, TITLE_CONTAINS, TITLE_CONTEXT
 from reelrank.plans.people_sql import CREDITS, PEOPLE, _near
 from reelrank.plans.records import sql_key
@@ -102,3 +103,10 @@ ob as (select *, case when p is not null then row_number() over (partition by qu
 xb as (select *, case when p is null then 0.0 else {fixed(fixed('0.06::double * (pop::double / most) / sqrt(occ::double)', 6) + ' + ' + fixed('0.01::double * evidence', 6), 6)} end boost from ob),
 yb as (select *, case when p is null then s else least(1.0, {fixed('s + boost', 6)}) end bs from xb)
 select query_id, id, base_rank::int base_rank, boost, bs boosted_score, occ::int occurrence, p person_id, (row_number() over (partition by query_id order by bs desc, base_rank))::int rank_no from yb"""
+
+_TERMS = ", ".join(f"('{g}:{i}', '{g}')" for g, t in GENRE_TERMS.items() for i in range(len(t)))
+ORACLE["genre_grammar"] = f"""with {RECORDS}, {evidence('rec')}, sg as (select genre from genre_names where genre is not null), tm as (select * from (values {_TERMS}) v(query_id, genre) where genre in (select genre from sg)),
+rq as (select query_id, [genre] wanted, 'any' m from tm union all select 'pair', ['Comedy', 'Drama'], 'all' where (select count(*) from sg where genre in ('Comedy', 'Drama')) = 2 union all select 'either', ['Horror', 'Thriller'], 'any' where (select count(*) from sg where genre in ('Horror', 'Thriller')) = 2),
+j as (select *, len(list_intersect(wanted, genres))::double / greatest(len(wanted), len(genres), 1) fo from rq join ev on case when m = 'all' then len(list_intersect(wanted, genres)) = len(wanted) else list_has_any(wanted, genres) end),
+s2 as (select query_id, id, rating_count, title, case when len(wanted) = 1 then {fixed(' + '.join(fixed(x, 6) for x in ('fo * 0.15::double', 'bayes / 5 * 0.55::double', 'evidence * 0.3::double')), 6)} else {fixed(' + '.join(fixed(x, 6) for x in ('fo * 0.55::double', 'bayes / 5 * 0.3::double', 'evidence * 0.15::double')), 6)} end score from j)
+select query_id, rank_no::int rank_no, id, score from (select *, row_number() over (partition by query_id order by score desc, rating_count desc, title, id) rank_no from s2) where rank_no <= 24"""

@@ -14,6 +14,7 @@ from reelrank.operators import review as rv
 from reelrank.operators.index import token_lookup
 from reelrank.plans import catalogue as cat
 from reelrank.plans import corrections as co
+from reelrank.plans import multilingual as mp
 from reelrank.plans import search as sr
 from reelrank.plans.people_sql import ORACLE  # noqa: F401
 from reelrank.runtime import clean_key, cut, table
@@ -279,6 +280,29 @@ def genre_grammar(spark, folder):
     return ml.retrieve(ml.genre_requests(names, supported), cp.rating_evidence(cat.records(spark, folder)))
 
 
+def _multilingual(spark, folder):
+    """(plans, records, people, credits) for the search queries and every genre's names as requests."""
+    r = cut(cp.rating_evidence(records_with_people(spark, folder)))
+    c = cut(credits(spark, folder).select(F.concat(F.lit("person:name:"), tx.slug(F.col("name"))).alias("entity_id"), "role", "movie_id").distinct())
+    people = cut(_people(spark, folder))
+    asked = spark.createDataFrame([(f"{g}:{i}", n) for g, t in ml.GENRE_TERMS.items() for i, n in enumerate(t)], "query_id string, text string")
+    films = ml.alias_catalog(r.where("title <> ''").select(F.col("id").alias("entity_id"), F.col("title").alias("name")))
+    names = ml.alias_catalog(people.select("entity_id", "name"))
+    plans = mp.plan_requests(cat.search_queries(spark, folder).unionByName(asked), r, cut(films), cut(names), people, table(spark, folder, "genre_names").select("genre"), cat.genre_aliases(spark, folder))
+    return plans, r, people.select("entity_id", "name", F.array().cast("array<string>").alias("movie_ids")), c
+
+
+def multilingual_plans(spark, folder):
+    """PL20, PL24-PL26, JN21: how each request is read, without a model."""
+    plans = _multilingual(spark, folder)[0]
+    return plans.select("query_id", "mode", "intent", "strategy", F.size("title_matches").alias("n_titles"), F.size("groups").alias("n_people"), F.array_join(F.array_sort("genres"), "|").alias("genres"), "genre_mode", *mp.BOUNDS, "sort_field", F.array_join("unresolved", "; ").alias("unresolved"), "is_structured", "is_blocked")
+
+
+def multilingual_answers(spark, folder):
+    """QY3, SO5, JN13, JN14, FL3: the first 24 films of each request that is understood."""
+    return mp.answer(*_multilingual(spark, folder)).select("query_id", "rank_no", "id", tx.fixed(F.col("score"), 6).alias("score"), "total")
+
+
 def catalogue_match_band(spark, folder):
     """JN15: every title, a year off, finds its movie again."""
     t = cat.titles(spark, folder)
@@ -326,5 +350,5 @@ def genre_evidence(spark, folder):
     return top.groupBy("genre", "id").agg(F.min("strategy").alias("first_strategy"), F.min("rank_no").alias("best_rank"), F.count("*").alias("n_strategies"))
 
 
-_ALL = [planned_search, query_plans, judgment_pool, genre_evidence, entity_registry_people, entity_registry_genres, entity_registry_tags, entity_page, entity_related, typeahead_titles, typeahead_people, exact_people, partial_people, fuzzy_person_join, genre_corrections, control_corrections, recurring_title_phrases, fuzzy_phrase_join, title_corrections, query_corrections, person_popularity_boost, review_keep_last, judgment_status, pool_round_robin, review_progress, baseline_compare, case_summary_grouping_sets, case_pass_rates, hash_shuffle_sample, hash_shuffle_every_fourth, alias_coverage, unicode_alias_match, alias_suggestions, query_grounding, genre_grammar, catalogue_match_band]
+_ALL = [planned_search, multilingual_plans, multilingual_answers, query_plans, judgment_pool, genre_evidence, entity_registry_people, entity_registry_genres, entity_registry_tags, entity_page, entity_related, typeahead_titles, typeahead_people, exact_people, partial_people, fuzzy_person_join, genre_corrections, control_corrections, recurring_title_phrases, fuzzy_phrase_join, title_corrections, query_corrections, person_popularity_boost, review_keep_last, judgment_status, pool_round_robin, review_progress, baseline_compare, case_summary_grouping_sets, case_pass_rates, hash_shuffle_sample, hash_shuffle_every_fourth, alias_coverage, unicode_alias_match, alias_suggestions, query_grounding, genre_grammar, catalogue_match_band]
 QUERIES = {f.__name__: f for f in _ALL}
