@@ -117,13 +117,13 @@ def log_likelihood(c: Column, a: Column, b: Column, n: int) -> Column:
     return F.greatest(F.lit(0.0), 2 * (cells - margins + _xlogx(total)))
 
 
-def basket_rows(frequent: DataFrame, block_items: int) -> DataFrame:
-    """(items, right): a row for each basket of several items, or, of more than block_items, one
+def basket_rows(frequent: DataFrame, wide: DataFrame, block_items: int) -> DataFrame:
+    """(items, right): a row for each basket of several items, or, for those of wide (basket, n), one
     for every two of its blocks; right is null where the pairs are those within items."""
-    wide = cut(frequent.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > block_items))
-    plain = frequent if wide.isEmpty() else frequent.join(wide.select("basket"), "basket", "left_anti")
+    none_wide = wide.isEmpty()
+    plain = frequent if none_wide else frequent.join(wide.select("basket"), "basket", "left_anti")
     whole = plain.groupBy("basket").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1).select("items", F.lit(None).cast("array<string>").alias("right"))
-    if wide.isEmpty():
+    if none_wide:
         return whole
     blocks = F.expr(f"cast(ceil(n / {block_items}) as int)")
     cells = frequent.join(wide, "basket").withColumn("blocks", blocks).withColumn("b", F.expr("cast(pmod(xxhash64(item), blocks) as int)"))
@@ -147,10 +147,11 @@ def cooccurrence(rows: DataFrame, basket: str, item: str, min_count: int = 5, la
     n = held.select("basket").distinct().count()
     support = cut(held.groupBy("item").count().withColumnRenamed("count", "support").where(F.col("support") >= min_count))
     frequent = held.join(support.select("item"), "item", "left_semi")
+    sizes = cut(frequent.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > min(large, block_items)))
     # at most min_count - 1 baskets, as many rows on the driver
-    largest = [r.basket for r in frequent.groupBy("basket").count().where(F.col("count") > large).orderBy(F.desc("count"), "basket").limit(min_count - 1).collect()] if min_count > 1 else []
+    largest = [r.basket for r in sizes.where(F.col("n") > large).orderBy(F.desc("n"), "basket").limit(min_count - 1).collect()] if min_count > 1 else []
     is_large = F.col("basket").isin(largest) if largest else F.lit(False)
-    baskets = basket_rows(frequent.where(~is_large), block_items)
+    baskets = basket_rows(frequent.where(~is_large), sizes.where((F.col("n") > block_items) & ~is_large), block_items)
     stripes = baskets.mapInPandas(_stripes, "item_a string, part int, near array<string>, counts array<bigint>")
     merged = stripes.repartition("item_a", "part").select("item_a", "part", F.explode(F.arrays_zip("near", "counts")).alias("x")).groupBy("item_a", "part", F.col("x.near").alias("item_b")).agg(F.sum("x.counts").alias("n_light"))
     need = min_count - len(largest)
