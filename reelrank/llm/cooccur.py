@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ from reelrank.runtime import cut, ship
 LARGE_BASKET = 64
 #: Items of a basket that one row may hold; larger baskets are cut into blocks of about so many.
 BLOCK_ITEMS = 2048
+#: Baskets of at most so many items are paired without arrays.
+SMALL_BASKET = 24
 #: Pairs that a map task merges in memory before it passes its stripes on.
 FLUSH_PAIRS = 2_000_000
 #: Slices of a stripe in the shuffle.
@@ -62,44 +65,63 @@ def hash_slice(name: str) -> int:
     return zlib.crc32(name.encode()) % SLICES
 
 
+def _pair_codes(k: np.ndarray, sides: np.ndarray | None) -> Iterator[np.ndarray]:
+    """The pairs of a basket's numbers, in blocks of bounded size; with sides only those between the two."""
+    for i0 in range(0, len(k), 512):
+        for j0 in range(i0, len(k), 4096):
+            i = np.arange(i0, min(i0 + 512, len(k)))
+            j = np.arange(j0, min(j0 + 4096, len(k)))
+            a, b = np.meshgrid(i, j, indexing="ij")
+            keep = a < b
+            if sides is not None:
+                keep &= sides[a] != sides[b]
+            if keep.any():
+                yield (k[a[keep]] << 32) | k[b[keep]]
+
+
 def _stripes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ids: dict[str, int] = {}
     codes: list[np.ndarray] = []
     counts: list[np.ndarray] = []
+    small: list[int] = []  # pairs of small baskets
     held = 0
+
+    def add(code: np.ndarray) -> Iterator[pd.DataFrame]:
+        nonlocal codes, counts, held
+        codes.append(code)
+        counts.append(np.ones(len(code), dtype=np.int64))
+        held += len(code)
+        if held >= FLUSH_PAIRS:
+            merged, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+            count = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+            codes, counts, held = [merged], [count], len(merged)
+            if held >= FLUSH_PAIRS // 2:
+                yield from _merge(codes, counts, np.array(list(ids), dtype=object))
+                codes, counts, held = [], [], 0  # names keep their numbers
+
     for batch in batches:
         for items, right in zip(batch["items"], batch["right"]):
-            # sorted, so that places compare as names do; a pair of blocks gives the pairs between them
-            side = dict.fromkeys(items, 0) | ({} if right is None else dict.fromkeys(right, 1))
-            names = sorted(side)
-            sides = np.fromiter((side[x] for x in names), dtype=np.int8, count=len(names))
-            k = np.fromiter((ids.setdefault(x, len(ids)) for x in names), dtype=np.int64, count=len(names))
-            for i0 in range(0, len(k), 512):  # a basket's pairs in blocks of bounded size
-                for j0 in range(i0, len(k), 4096):
-                    i = np.arange(i0, min(i0 + 512, len(k)))
-                    j = np.arange(j0, min(j0 + 4096, len(k)))
-                    a, b = np.meshgrid(i, j, indexing="ij")
-                    keep = a < b
-                    if right is not None:
-                        keep &= sides[a] != sides[b]
-                    if not keep.any():
-                        continue
-                    codes.append((k[a[keep]] << 32) | k[b[keep]])
-                    counts.append(np.ones(len(codes[-1]), dtype=np.int64))
-                    held += len(codes[-1])
-                    if held >= FLUSH_PAIRS:
-                        code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-                        count = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
-                        codes, counts, held = [code], [count], len(code)
-                        if held >= FLUSH_PAIRS // 2:
-                            yield from _merge(codes, counts, np.array(list(ids), dtype=object))
-                            # the basket at hand keeps its numbers
-                            codes, counts, held = [], [], 0
-        if codes and len(ids) > FLUSH_PAIRS // 2:
-            yield from _merge(codes, counts, np.array(list(ids), dtype=object))
-            codes, counts, held = [], [], 0
-        if not codes:
-            ids = {}
+            if right is None and len(items) <= SMALL_BASKET:
+                k = [ids.setdefault(x, len(ids)) for x in sorted(items)]
+                small += [x << 32 | y for x, y in combinations(k, 2)]
+                if len(small) >= FLUSH_PAIRS // 8:
+                    yield from add(np.array(small, dtype=np.int64))
+                    small = []
+            else:
+                # sorted, so that places compare as names do; a pair of blocks gives the pairs between them
+                side = dict.fromkeys(items, 0) | ({} if right is None else dict.fromkeys(right, 1))
+                names = sorted(side)
+                sides = None if right is None else np.array([side[x] for x in names], dtype=np.int8)
+                for code in _pair_codes(np.array([ids.setdefault(x, len(ids)) for x in names], dtype=np.int64), sides):
+                    yield from add(code)
+        if len(ids) > FLUSH_PAIRS // 2:  # too many names to hold on to
+            if small:
+                yield from add(np.array(small, dtype=np.int64))
+            if codes:
+                yield from _merge(codes, counts, np.array(list(ids), dtype=object))
+            ids, codes, counts, small, held = {}, [], [], [], 0
+    if small:
+        yield from add(np.array(small, dtype=np.int64))
     if codes:
         yield from _merge(codes, counts, np.array(list(ids), dtype=object))
 
