@@ -50,8 +50,8 @@ def genre_aliases(spark: SparkSession, folder: str) -> dict[str, str]:
 # --- queries
 
 
-def title_search_flagship(spark, folder):
-    """QY1, QY6: the whole search for all search queries, 100 records each."""
+def lexical_search(spark, folder):
+    """IX22, RK13, SO1, SO4: the search by metadata, titles and fields alone, 100 records for each search query."""
     return sr.search(search_queries(spark, folder), records(spark, folder), aliases=genre_aliases(spark, folder)).withColumn("sources", F.array_join("sources", ","))
 
 
@@ -226,6 +226,6 @@ def dataset_summary(spark, folder):
     return validation.summary(table(spark, folder, "movies"), table(spark, folder, "queries"), _judged(spark, folder))
 
 
-_ALL = [title_search_flagship, genre_discovery_topk, compound_genre_topk, compound_genre_pairs_topk, rating_stats, corpus_documents, exact_title_collisions, exact_title_lookup, token_lookup_union, token_lookup_intersect, trigram_candidates, edit_similarity_topk, token_coverage_topk, ordered_proximity, field_match_best, metadata_parse, metadata_filters, index_statistics, eval_per_query, eval_summary, eval_by_category, regression_gate, integrity_violations, dataset_summary]
+_ALL = [lexical_search, genre_discovery_topk, compound_genre_topk, compound_genre_pairs_topk, rating_stats, corpus_documents, exact_title_collisions, exact_title_lookup, token_lookup_union, token_lookup_intersect, trigram_candidates, edit_similarity_topk, token_coverage_topk, ordered_proximity, field_match_best, metadata_parse, metadata_filters, index_statistics, eval_per_query, eval_summary, eval_by_category, regression_gate, integrity_violations, dataset_summary]
 QUERIES = {f.__name__: f for f in _ALL}
 

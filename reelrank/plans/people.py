@@ -45,6 +45,14 @@ def records_with_people(spark, folder):
     return cat.records(spark, folder).join(lists, "id", "left").withColumns({f: F.coalesce(f, none) for f in ("cast", "directors")})
 
 
+def title_search_flagship(spark, folder):
+    """QY1, QY2, QY6: the whole search of all search queries, 100 records each: plans with corrections and
+    people, candidates of all sources, every signal, boosts."""
+    r = cut(records_with_people(spark, folder))
+    found = sr.search(cat.search_queries(spark, folder), r, 100, cat.genre_aliases(spark, folder), people=_people(spark, folder), genres=table(spark, folder, "genre_names").select("genre"))
+    return found.withColumn("sources", F.array_join("sources", ","))
+
+
 def planned_search(spark, folder):
     """QY1, QY2, PL22, RK10, RK11, SO2, SO7: the search with whole plans, for the search queries and, of the
     movies whose number is divisible by 20, the titles with a letter missing and the last names of an actor."""
@@ -350,5 +358,5 @@ def genre_evidence(spark, folder):
     return top.groupBy("genre", "id").agg(F.min("strategy").alias("first_strategy"), F.min("rank_no").alias("best_rank"), F.count("*").alias("n_strategies"))
 
 
-_ALL = [planned_search, multilingual_plans, multilingual_answers, query_plans, judgment_pool, genre_evidence, entity_registry_people, entity_registry_genres, entity_registry_tags, entity_page, entity_related, typeahead_titles, typeahead_people, exact_people, partial_people, fuzzy_person_join, genre_corrections, control_corrections, recurring_title_phrases, fuzzy_phrase_join, title_corrections, query_corrections, person_popularity_boost, review_keep_last, judgment_status, pool_round_robin, review_progress, baseline_compare, case_summary_grouping_sets, case_pass_rates, hash_shuffle_sample, hash_shuffle_every_fourth, alias_coverage, unicode_alias_match, alias_suggestions, query_grounding, genre_grammar, catalogue_match_band]
+_ALL = [title_search_flagship, planned_search, multilingual_plans, multilingual_answers, query_plans, judgment_pool, genre_evidence, entity_registry_people, entity_registry_genres, entity_registry_tags, entity_page, entity_related, typeahead_titles, typeahead_people, exact_people, partial_people, fuzzy_person_join, genre_corrections, control_corrections, recurring_title_phrases, fuzzy_phrase_join, title_corrections, query_corrections, person_popularity_boost, review_keep_last, judgment_status, pool_round_robin, review_progress, baseline_compare, case_summary_grouping_sets, case_pass_rates, hash_shuffle_sample, hash_shuffle_every_fourth, alias_coverage, unicode_alias_match, alias_suggestions, query_grounding, genre_grammar, catalogue_match_band]
 QUERIES = {f.__name__: f for f in _ALL}

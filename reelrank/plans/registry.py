@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship() -> Callable:
-    return catalogue.title_search_flagship
+    return people.title_search_flagship
