@@ -55,6 +55,24 @@ def lexical_search(spark, folder):
     return sr.search(search_queries(spark, folder), records(spark, folder), aliases=genre_aliases(spark, folder)).withColumn("sources", F.array_join("sources", ","))
 
 
+def search_candidates(spark, folder):
+    """IX22, IX23, ST1, PL17: every record that each search query nominates, and by what."""
+    r = cut(records(spark, folder))
+    plans = cut(sr.plan_alone(search_queries(spark, folder), genre_aliases(spark, folder)))
+    found = sr.candidates(plans, r, ix.best_field(sr.field_matches(plans, r)))
+    return found.select("query_id", "id", F.array_join("sources", ",").alias("sources"), "is_exact", "is_fallback")
+
+
+def weighted_scores(spark, folder):
+    """RK1-RK3, RK6-RK8, RK12: the scores of all candidates with a user's own weights, those of order being 0."""
+    r = cut(records(spark, folder))
+    plans = cut(sr.plan_alone(search_queries(spark, folder), genre_aliases(spark, folder)))
+    fields = cut(ix.best_field(sr.field_matches(plans, r)))
+    weights = {"token_coverage": 40, "ordered_coverage": 0, "phrase_match": 0, "proximity": 0, "dice": 30, "edit_similarity": 30}
+    scored = sr.score(plans, sr.candidates(plans, r, fields), r, fields, weights)
+    return scored.where("not is_fallback").select("query_id", "id", "token_coverage", "dice", "edit_similarity", "title_score", "field_score", "combined_score", "phrase_priority")
+
+
 def genre_discovery_topk(spark, folder):
     """PL1, FL1, IX20, RK9, SO1: for every single genre of the catalogue its best records."""
     return _discovery(spark, folder, F.array(F.col("genre")), "single")
@@ -226,6 +244,6 @@ def dataset_summary(spark, folder):
     return validation.summary(table(spark, folder, "movies"), table(spark, folder, "queries"), _judged(spark, folder))
 
 
-_ALL = [lexical_search, genre_discovery_topk, compound_genre_topk, compound_genre_pairs_topk, rating_stats, corpus_documents, exact_title_collisions, exact_title_lookup, token_lookup_union, token_lookup_intersect, trigram_candidates, edit_similarity_topk, token_coverage_topk, ordered_proximity, field_match_best, metadata_parse, metadata_filters, index_statistics, eval_per_query, eval_summary, eval_by_category, regression_gate, integrity_violations, dataset_summary]
+_ALL = [lexical_search, search_candidates, weighted_scores, genre_discovery_topk, compound_genre_topk, compound_genre_pairs_topk, rating_stats, corpus_documents, exact_title_collisions, exact_title_lookup, token_lookup_union, token_lookup_intersect, trigram_candidates, edit_similarity_topk, token_coverage_topk, ordered_proximity, field_match_best, metadata_parse, metadata_filters, index_statistics, eval_per_query, eval_summary, eval_by_category, regression_gate, integrity_violations, dataset_summary]
 QUERIES = {f.__name__: f for f in _ALL}
 

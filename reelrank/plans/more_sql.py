@@ -7,7 +7,8 @@ from reelrank.operators.multilingual import GENRE_TERMS
 from reelrank.plans.corrections import ACTOR, CONTROL_WORDS, CORRECTION_CANDIDATES, DIRECTOR, TITLE_CONTAINS, TITLE_CONTEXT
 from reelrank.plans.people_sql import CREDITS, PEOPLE, _near
 from reelrank.plans.records import sql_key
-from reelrank.plans.sql import _TOKENS, RECORDS, SEARCHED, TITLES, edit, evidence, fixed, grams, key
+from reelrank.plans.sql import _TOKENS, RECORDS, SEARCHED, STOP, TITLES, _parsed, edit, evidence, fixed, grams, key, tokens
+from reelrank.plans.sql import ORACLE as CATALOGUE
 from reelrank.plans.texts import _ALIAS, SCRIPT, judged, person_key, ukey
 
 CONTROL = "['" + "', '".join(CONTROL_WORDS) + "']"
@@ -110,3 +111,31 @@ rq as (select query_id, [genre] wanted, 'any' m from tm union all select 'pair',
 j as (select *, len(list_intersect(wanted, genres))::double / greatest(len(wanted), len(genres), 1) fo from rq join ev on case when m = 'all' then len(list_intersect(wanted, genres)) = len(wanted) else list_has_any(wanted, genres) end),
 s2 as (select query_id, id, rating_count, title, case when len(wanted) = 1 then {fixed(' + '.join(fixed(x, 6) for x in ('fo * 0.15::double', 'bayes / 5 * 0.55::double', 'evidence * 0.3::double')), 6)} else {fixed(' + '.join(fixed(x, 6) for x in ('fo * 0.55::double', 'bayes / 5 * 0.3::double', 'evidence * 0.15::double')), 6)} end score from j)
 select query_id, rank_no::int rank_no, id, score from (select *, row_number() over (partition by query_id order by score desc, rating_count desc, title, id) rank_no from s2) where rank_no <= 24"""
+
+_FIELDS = CATALOGUE["field_match_best"]
+_WORDS = lambda x: f"list_filter(list_distinct(regexp_extract_all({x}, '[a-z0-9]+')), lambda w: not list_contains({STOP}, w))"
+_BOUNDED = """(year_min is null or rec."year" >= year_min) and (year_max is null or rec."year" <= year_max) and (rating_min is null or rec.average_rating >= rating_min) and (count_min is null or rec.rating_count >= count_min)"""
+#: cx: (query_id, id, source) of all search queries; pl: their plans.
+_CANDIDATES = f"""{RECORDS}, {SEARCHED}, {_parsed('qk')}, pl as (
+  select *, case when title_text <> '' then title_text when has_metadata and len(residual) = 0 then '' else qkey end tq, case when is_pure_genre then '' else qkey end fq from parsed),
+ek as (select distinct id, unnest([{key('source_title')}, tkey, {key("regexp_replace(title, '(?i)^(a|an|the)[\\s]+', '')")}]) k from keyed),
+tok as (select id, unnest({tokens('tkey')}) token from keyed), gt as (select id, unnest({grams('tedit')}) gram from keyed),
+gq as (select query_id, len(g) n, unnest(g) gram from (select query_id, {grams(edit('tq'))} g from pl where not has_metadata and tq <> '')),
+fd as ({_FIELDS}),
+cx as (
+  select query_id, id, 'exact' source from pl join ek on k = qkey where k <> ''
+  union select query_id, id, 'token' from (select query_id, unnest({_WORDS('tq')}) token from pl where not has_metadata and tq <> '') join tok using (token)
+  union select query_id, id, 'trigram' from (select query_id, id, n, count(*) m from gq join gt using (gram) group by all) where m >= greatest(2, ceil(n * {TRIGRAM_SHARE}::double))
+  union select query_id, id, 'field' from fd semi join (select query_id from pl where not has_metadata and fq <> '') using (query_id)
+  union select query_id, rec.id, 'metadata' from pl join rec on has_metadata and (len(pl.genres) = 0 or (genre_mode = 'all' and len(list_intersect(list_distinct(pl.genres), rec.genres)) = len(pl.genres)) or (genre_mode = 'any' and list_has_any(pl.genres, rec.genres))) and {_BOUNDED}
+  union select query_id, id, 'fallback' from (select query_id, year_min, year_max, rating_min, count_min, unnest({_WORDS("array_to_string(aliases, ' ') || ' ' || tq")}) token from pl where len(genres) > 0 and not is_pure_genre) join tok using (token) join rec using (id) where {_BOUNDED})"""
+
+ORACLE["search_candidates"] = f"""with {_CANDIDATES} select query_id, id, array_to_string(list_sort(list(source)), ',') sources, bool_or(source = 'exact') is_exact, bool_or(source = 'fallback') is_fallback from cx group by 1, 2"""
+ORACLE["weighted_scores"] = f"""with {_CANDIDATES}, wc as (select query_id, id, bool_or(source = 'exact') ex from cx group by 1, 2 having not bool_or(source = 'fallback')),
+wj as (select wc.*, tq, fq, {edit('tq')} qe, tedit, tkey, coalesce(score, 0.0) field_score from wc join pl using (query_id) join keyed using (id) left join fd using (query_id, id)),
+wk as (select *, {_WORDS('tq')} qw, {tokens('tkey')} tw, {grams('qe')} qg, {grams('tedit')} tgr, regexp_replace(tkey, '^(a|an|the)[ ]+', '') bare from wj),
+ws as (select *, case when len(qw) > 0 then {fixed('len(list_intersect(qw, tw))::double / len(qw)', 4)} else 0.0 end cov, case when len(qg) + len(tgr) > 0 then {fixed('2 * len(list_intersect(qg, tgr))::double / (len(qg) + len(tgr))', 4)} else 0.0 end di,
+  case when greatest(length(qe), length(tedit)) > 0 then {fixed('1 - levenshtein(qe, tedit)::double / greatest(length(qe), length(tedit))', 4)} else 1.0 end ed from wk),
+wt as (select *, {fixed(' + '.join(fixed(x, 6) for x in ('cov * 0.4::double', 'di * 0.3::double', 'ed * 0.3::double')), 6)} ts from ws)
+select query_id, id, cov token_coverage, di dice, ed edit_similarity, ts title_score, field_score, case when ex then 1.0 when fq <> '' then {fixed('ts * 0.35::double + field_score * 0.65::double', 6)} else ts end combined_score,
+  case when contains(tq, ' ') and (bare = tq or starts_with(bare, tq || ' ')) then 1 else 0 end phrase_priority from wt"""
