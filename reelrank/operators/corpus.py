@@ -83,6 +83,11 @@ def enrich(corpus: DataFrame, enrichment: DataFrame) -> DataFrame:
     return joined.select("_id", "title", text.alias("text"), F.coalesce(F.col("e.overview"), F.lit("")).alias("overview"), *[v.alias(k) for k, v in more.items()], "metadata", F.col("e").isNotNull().alias("is_enriched"))
 
 
+def subset(documents: DataFrame, ids: list[str]) -> DataFrame:
+    """ETL18: the documents with these ids, in any order; ids that don't exist give no row."""
+    return documents.where(F.col("_id").isin([str(i) for i in ids])) if ids else documents.limit(0)
+
+
 def coverage(enriched: DataFrame) -> DataFrame:
     """ETL9: the share of documents with enrichment; null for none."""
     return enriched.agg(F.count("*").alias("documents"), F.count_if("is_enriched").alias("enriched"), F.round(F.avg(F.col("is_enriched").cast("int")), 4).alias("coverage"))

@@ -168,6 +168,13 @@ def publication_readiness(results: DataFrame, pool: DataFrame, status: DataFrame
     return per.join(done, "query_id", "left").select("query_id", "top_count", "in_pool", "finalized", action.alias("action"), (action == "none").alias("is_ready"), F.coalesce("pool_complete", F.lit(False)).alias("pool_complete"))
 
 
+def judged_titles(judged: DataFrame, records: DataFrame) -> DataFrame:
+    """JN17: judgments (query_id, doc_id, grade) with title and year of the record; one that the catalogue
+    lacks goes by its id."""
+    r = records.select(F.col("id").alias("doc_id"), "title", "year")
+    return judged.join(r, "doc_id", "left").select("query_id", "doc_id", "grade", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Film "), "doc_id")).alias("title"), "year")
+
+
 def review_problems(events: DataFrame, pool: DataFrame) -> DataFrame:
     """QY9: (query_id, doc_id, reviewer_id, problem) of reviews that can't be taken: the first rule each breaks."""
     known = events.join(pool.select("query_id", "doc_id").distinct().withColumn("_in", F.lit(True)), ["query_id", "doc_id"], "left")

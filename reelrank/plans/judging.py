@@ -13,6 +13,7 @@ from reelrank.operators import validation as va
 from reelrank.plans import catalogue as cat
 from reelrank.plans import people as pe
 from reelrank.plans import search as sr
+from reelrank.plans.metadata import unsupported
 from reelrank.plans.people_sql import _BASE_EVAL, _MEMBERS, _NOW_EVAL, CREDITS, PEOPLE, POOL, REVIEWS, slug
 from reelrank.plans.records import SQL_WS, sql_key
 from reelrank.plans.sql import RECORDS, SEARCHED, STOP, TITLES, _parsed, evidence, fixed, key
@@ -190,7 +191,36 @@ def entity_names(spark, folder):
     return en.page(pe._people(spark, folder), 1, 24, contains="An").select("entity_id", "movie_count", "total", "pages")
 
 
-_ALL = [report_comparison, category_deltas, latency_medians, numeric_ids, fallback_histogram, usage_totals, case_assessment, judge_agreement, judged_lists, genre_nominations, genre_review_pool, publication_readiness, review_problems, request_checks, film_cards, registry_stats, movies_of_people, movie_lookup, entity_names]
+def judged_movies(spark, folder):
+    """JN17."""
+    return rv.judged_titles(cat._judged(spark, folder), cat.titles(spark, folder))
+
+
+def teaching_subset(spark, folder):
+    """ETL18: twenty fixed documents, as far as they exist."""
+    found = cp.subset(cat.corpus(spark, folder), TEACHING)
+    return found.select("_id", "title", F.col("metadata.rating_count").alias("rating_count"))
+
+
+def unsupported_bounds(spark, folder):
+    """PL16: queries that ask for a rating which the catalogue doesn't have."""
+    q = pe._all_queries(spark, folder)
+    n = F.pmod(F.length("text"), F.lit(10)).cast("string")
+    asked = F.concat("text", F.lit(" "), n, F.when(F.pmod(F.length("text"), F.lit(3)) == 0, "+ on imdb").when(F.pmod(F.length("text"), F.lit(3)) == 1, ".5+ imdb").otherwise(" stars"))
+    return q.select("query_id", unsupported(tx.exact_key(asked)).alias("unsupported"))
+
+
+def typeahead_genres(spark, folder):
+    """QY4, SO12: what the first two letters of every genre suggest among the genres."""
+    g = pe.entity_registry_genres(spark, folder).select(F.col("entity_id").alias("id"), "name", F.col("movie_count").alias("weight"))
+    q = g.select(F.lower(F.left("name", F.lit(2))).alias("query_id")).distinct().withColumn("text", F.col("query_id"))
+    return en.typeahead(q, g).select("query_id", "rank_no", "id", "score")
+
+
+#: The documents of the teaching subset.
+TEACHING = list(range(1, 400, 20))
+
+_ALL = [judged_movies, teaching_subset, unsupported_bounds, typeahead_genres, report_comparison, category_deltas, latency_medians, numeric_ids, fallback_histogram, usage_totals, case_assessment, judge_agreement, judged_lists, genre_nominations, genre_review_pool, publication_readiness, review_problems, request_checks, film_cards, registry_stats, movies_of_people, movie_lookup, entity_names]
 QUERIES = {f.__name__: f for f in _ALL}
 
 _CT = f"""ct as (select {sql_key('_id')} query_id, min(metadata.category) category from queries where {sql_key('_id')} is not null group by 1)"""
@@ -220,6 +250,14 @@ gq as (select query_id, 'genre_quality' source, id doc_id, rnk from sq where rnk
 _MEAN = {"precision_at_k": "avg(precision_at_k)", "recall_at_k": "avg(recall_at_k)", "recall_at_recall_k": "avg(recall_at_recall_k)", "mrr": "avg(reciprocal_rank)", "ndcg_at_k": "avg(ndcg_at_k)"}
 
 ORACLE = {
+    "judged_movies": f"""with {_QR}, {TITLES} select query_id, doc_id, grade, coalesce(nullif(title, ''), 'Film ' || doc_id) title, "year" from jd left join titles on id = doc_id""",
+    "teaching_subset": f"""with {RECORDS} select id _id, source_title title, rating_count from rec where id in ({', '.join(f"'{i}'" for i in TEACHING)})""",
+    "unsupported_bounds": f"""with a as (select {sql_key('_id')} query_id, min(text) t from queries where text is not null and {sql_key('_id')} is not null group by 1),
+k as (select query_id, {key("t || ' ' || (length(t) % 10) || case length(t) % 3 when 0 then '+ on imdb' when 1 then '.5+ imdb' else ' stars' end")} k from a)
+select query_id, 'IMDb rating >= ' || coalesce(nullif(regexp_extract(k, '\\b(\\d(?:\\.\\d)?)\\s*\\+\\s*(?:(?:in|on)\\s+)?imdb\\b', 1), ''), nullif(regexp_extract(k, '\\bimdb\\s*(\\d(?:\\.\\d)?)\\s*\\+', 1), '')) unsupported from k""",
+    "typeahead_genres": f"""with {TITLES}, g as ({_MEMBERS('genre', 'select id, trim(g, ' + SQL_WS + ') n from (select id, unnest(genres) g from titles)')}), es as (select entity_id, "name" n, {key('"name"')} nk, movie_count from g),
+qy as (select distinct lower(left(n, 2)) query_id, {key('lower(left(n, 2))')} qk from es), h as (select query_id, entity_id, n, movie_count, case when nk = qk then 4 when starts_with(nk, qk) then 3 else 2 end score from qy join es on contains(' ' || nk, ' ' || qk) where length(qk) >= 2)
+select query_id, rank_no::int rank_no, entity_id id, score::int score from (select *, row_number() over (partition by query_id order by score desc, movie_count desc, n, entity_id) rank_no from h) where rank_no <= 6""",
     "report_comparison": f"with {_SIDES}, " + ", ".join(f"x{i} as (select (select {m} from b0) a, (select {m} from c0) b)" for i, m in enumerate(_MEAN.values())) + " " + " union all ".join(f"select '{k}' metric, {fixed('a', 6)} baseline, {fixed('b', 6)} \"current\", {fixed(fixed('b - a', 6), 5)} delta, b - a < -0.0001 is_regression from x{i}" for i, k in enumerate(_MEAN)),
     "category_deltas": f"""with {_SIDES}, {_CT}, d as (select coalesce(ct.category, 'uncategorized') category, c.reciprocal_rank - coalesce(b.reciprocal_rank, 0) r, c.recall_at_recall_k - coalesce(b.recall_at_recall_k, 0) k, coalesce(b.reciprocal_rank, 0) > 0 and c.reciprocal_rank = 0 l
   from c0 c left join b0 b using (query_id) left join ct using (query_id))
