@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelrank.operators import corpus as cp
+from reelrank.operators import index as ix
 from reelrank.operators import ranking as rk
 from reelrank.operators.packed import explode_packed
 from reelrank.plans import search as sr
@@ -57,6 +58,17 @@ def test_without_autocorrect_the_text_stays(spark, world):
         sr.search(world[0].select(F.col("id").alias("query_id"), F.col("title").alias("text")), world[0], 0)
 
 
+def test_an_index_answers_alike(spark, world, tmp_path):
+    records, people, genres = world
+    q = spark.createDataFrame([("1", "mellow"), ("2", "drama movies after 1991"), ("3", "silver harbr"), ("4", "lind")], "query_id string, text string")
+    index = ix.build_index(records)
+    ix.save_index(index, str(tmp_path / "index"))
+    results = [sorted(map(tuple, sr.search(q, r, 5, people=people, genres=genres).collect())) for r in (records, index, ix.load_index(spark, str(tmp_path / "index")))]
+    assert results[0] == results[1] == results[2] and len(results[0]) > 8
+    with pytest.raises(Exception):
+        ix.save_index(index, str(tmp_path / "index"))
+
+
 def test_people_of_many_records(spark):
     base = spark.createDataFrame([("q", str(k), k, 0.5, 0.2) for k in range(1, 7)], "query_id string, id string, base_rank int, combined_score double, rating_evidence double")
     base = base.withColumns({"prefix_match": F.lit(False), "title_intent": F.lit(False), "person_intent": F.lit(False), "title": F.col("id"), "rating_count": F.lit(1)})
