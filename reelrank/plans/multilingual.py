@@ -27,6 +27,8 @@ SORT_FIELDS, DIRECTIONS, ROLES = ["year", "rating", "ratingCount"], ["asc", "des
 #: Words beside people that are no title.
 ROLE_WORDS = r"\b(?:movies?|films?|starring|featuring|directed|by|with|actor|director)\b"
 LONGEST = 300
+#: Blocks of films that requests without genres meet.
+BLOCKS = 64
 
 
 def _columns() -> list[tuple[str, str]]:
@@ -193,8 +195,11 @@ def answer(plans: DataFrame, records: DataFrame, people: DataFrame, credits: Dat
     of its titles, with all its people, within its filters; sorted before they are cut, nulls last, then by
     score. records: with rating evidence, cast and directors; people: (entity_id, name, movie_ids); credits:
     (entity_id, role, movie_id)."""
-    p = cut(plans.where("not is_blocked"))
-    r = cut(records)
+    content = ["has_title", "title_matches", "groups", "genres", "genre_mode", "is_structured", "sort_field", "sort_direction", *BOUNDS]
+    asked = cut(plans.where("not is_blocked").withColumn("_r", F.sha2(F.to_json(F.struct(*content)), 256)))
+    # every different request is answered once, whatever the number of queries that make it
+    p = cut(asked.select(F.col("_r").alias("query_id"), *content).dropDuplicates(["query_id"]))
+    r = cut(records.select("id", "title", "year", "genres", "average_rating", "rating_count", "eligible", "bayesian_rating", "rating_evidence", "cast", "directors"))
     titles = p.where("has_title").select("query_id", F.explode("title_matches").alias("m")).select("query_id", "m.id", F.col("m.score").alias("title_score"))
     groups = cut(p.select("query_id", F.explode("groups").alias("g")).select("query_id", F.col("g.no").alias("group_no"), "g.entity_id", "g.role"))
     n_groups = groups.groupBy("query_id").agg(F.count("*").alias("_n"))
@@ -203,15 +208,19 @@ def answer(plans: DataFrame, records: DataFrame, people: DataFrame, credits: Dat
     with_people = titles.join(of_people, ["query_id", "id"], "left_semi").join(n_groups, "query_id", "left_semi").unionByName(titles.join(n_groups, "query_id", "left_anti"))
     none = F.lit(None).cast("double")
     only_people = of_people.join(p.where("not has_title").select("query_id"), "query_id", "left_semi").withColumn("title_score", none)
-    bare = p.where("not has_title").join(n_groups, "query_id", "left_anti")
-    by_filter = ix.filtered(bare, r).withColumn("title_score", none)
-    # sorted requests without any filter ask for the whole catalogue, block by block
-    free = bare.where((F.size("genres") == 0) & F.coalesce(*[F.col(b).cast("double") for b in BOUNDS]).isNull())
-    blocks = F.sequence(F.lit(0), F.lit(63))
-    all_of = ix.sent(free.select("query_id", F.explode(blocks).alias("_b"))).join(r.select("id", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int").alias("_b")), "_b").select("query_id", "id").withColumn("title_score", none)
-    found = with_people.unionByName(only_people).unionByName(by_filter).unionByName(all_of)
-    j = found.join(ix.sent(p.select("query_id", F.col("genres").alias("wanted"), (F.col("genre_mode") == "all").alias("mode_all"), "is_structured", "sort_field", "sort_direction", *BOUNDS)), "query_id").join(r, "id")
-    kept = j.where(ix.matches_filters(*[F.col(c) for c in ("genres", "year", "average_rating", "rating_count", "wanted", "mode_all", *BOUNDS)]))
+    request = ["query_id", F.col("genres").alias("wanted"), (F.col("genre_mode") == "all").alias("mode_all"), "is_structured", "sort_field", "sort_direction", *BOUNDS]
+    film = r.drop("cast", "directors")
+    named = with_people.unionByName(only_people).join(ix.sent(p.select(*request)), "query_id").join(film, "id")
+    # by filters alone, or none: films meet requests by the first of the wanted genres that they have, else block by block;
+    # requests go to the films, so that of a pair nothing is shuffled but what is among a task's first
+    bare = p.where("not has_title").join(n_groups, "query_id", "left_anti").select(*request)
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.concat(F.lit("\x00"), i.cast("string")))
+    keys = F.when(F.size("wanted") > 0, F.array_distinct("wanted")).otherwise(blocks)
+    block = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("string"))
+    keyed = film.withColumn("_k", F.explode(F.array_distinct(F.concat("genres", F.array(block)))))
+    first = (F.size("wanted") == 0) | (F.get(F.array_intersect("wanted", "genres"), F.lit(0)) == F.col("_k"))
+    listed = keyed.join(ix.sent(bare.withColumn("_k", F.explode(keys))), "_k").where(first).drop("_k").withColumn("title_score", none)
+    kept = named.unionByName(listed).where(ix.matches_filters(*[F.col(c) for c in ("genres", "year", "average_rating", "rating_count", "wanted", "mode_all", *BOUNDS)]))
     held, focus = rk.genre_focus(F.col("wanted"), F.col("genres"))
     kept = kept.withColumns({"genre_focus": focus, "genre_matches": held})
     structured = F.when(F.col("is_structured"), rk.structured_genre_score(F.size("wanted"))).otherwise(0.0)
@@ -222,4 +231,5 @@ def answer(plans: DataFrame, records: DataFrame, people: DataFrame, credits: Dat
     order = [signed.asc_nulls_last(), F.desc("score"), F.desc("genre_matches"), F.desc("structured"), F.coalesce(rating, F.lit(0.0)).desc(), F.desc("rating_count"), "title", "id"]
     ranked = kept.withColumn("rank_no", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank_no") <= n)
     total = kept.groupBy("query_id").agg(F.count("*").alias("total"))
-    return ranked.join(total, "query_id").select("query_id", "rank_no", "id", "score", "total")
+    answers = ranked.join(total, "query_id").select(F.col("query_id").alias("_r"), "rank_no", "id", "score", "total")
+    return asked.select("query_id", "_r").join(answers, "_r").select("query_id", "rank_no", "id", "score", "total")
